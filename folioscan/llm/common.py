@@ -140,3 +140,33 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     out = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return out.union(roots)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text number of the runs ``[^\\x20\\x09-\\x0D]+`` of concatenated texts."""
+    space = _SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    inner = ~space
+    starts = np.flatnonzero(inner & (first[:-1] | np.concatenate(([True], space[:-1]))))
+    ends = np.flatnonzero(inner & (first[1:] | np.concatenate((space[1:], [True])))) + 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often ``mask`` holds within each text."""
+    sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def distinct_per_text(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each of ``n`` texts has."""
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    return np.bincount(t[new], minlength=n)

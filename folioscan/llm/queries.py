@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscan.llm import pii
+from folioscan.llm import pii, quality
+from folioscan.llm.common import save
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text by the discriminant, fitted on the labels that are not held out."""
+    feats = save(quality.features(_table(spark, sf_dir, "documents")), "features")
+    model = quality.fit_on(feats, _table(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return quality.score(feats, model).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), score, F.when(score >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_pii": op8_pii}
+    return {"op8_pii": op8_pii, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
