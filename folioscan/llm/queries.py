@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import pii, quality
+from folioscan.llm import jaccard, pii, quality
 from folioscan.llm.common import save
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    found = jaccard.classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: counts and digest of the base kinds, and all spans."""
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
@@ -29,7 +35,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_pii": op8_pii, "op9_quality": op9_quality}
+    return {"op1_jaccard": op1_jaccard, "op8_pii": op8_pii, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
