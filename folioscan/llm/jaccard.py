@@ -149,7 +149,7 @@ def sketch(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFram
         for batch in batches:
             for part in pieces_of(batch, text, 2 << 20) if batch.num_rows else ():
                 s, at = shingle_sets(part.column(1), k)
-                f, g = (np.concatenate(([0], np.cumsum(mix64(s ^ np.uint64(x))))).astype(np.uint64) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+                f, g = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(x))))) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
                 f, g = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in (f, g))
                 maps, keys = [], []
                 for i in range(part.num_rows):
