@@ -102,12 +102,17 @@ def _powers(n: int) -> list[np.ndarray]:
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def sums_of_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Order-sensitive sums of the ranges [start, end) of 64-bit values: equal values, equal sum."""
+    forth, back = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * forth[: len(values)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * back[starts]
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges [start, end): equal bytes, equal hash."""
-    forth, back = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * forth[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return mix64(sums_of_ranges(_BYTE_CODES[data], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -170,3 +175,47 @@ def distinct_per_text(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarra
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
     return np.bincount(t[new], minlength=n)
+
+
+#: Most bits of an ``IdFilter`` (32 MB), whatever the number of ids.
+FILTER_BITS = 1 << 28
+
+
+class IdFilter:
+    """A broadcast Bloom filter over the 64-bit ids in the one column of ``ids``.
+
+    16 bits an id with two hashes, up to ``FILTER_BITS`` in all; beyond that the share of false hits grows. A false
+    hit costs work only: whoever asks must drop it by a join.
+    """
+
+    def __init__(self, ids: DataFrame, most_bits: int = FILTER_BITS) -> None:
+        bits = self.bits = min(most_bits, 1 << max(16, (16 * ids.count()).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for h in _filter_places(b.column(0).to_numpy(), bits):
+                    np.bitwise_or.at(out, h >> 3, (1 << (h & 7)).astype(np.uint8))
+            full = out.view(np.int64)
+            at = np.flatnonzero(full)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(full[at])], ["at", "word"])
+
+        spark = ids.sparkSession
+        parts = max(1, min(64, spark.sparkContext.defaultParallelism))
+        out = np.zeros(bits // 64, np.int64)
+        for r in ids.coalesce(parts).mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow().to_batches():
+            out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+        self.sent = spark.sparkContext.broadcast(out.view(np.uint8))
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "sent": self.sent}
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        there = np.ones(len(ids), bool)
+        for h in _filter_places(ids, self.bits):
+            there &= (self.sent.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+        return there
+
+
+def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(x)) % np.uint64(bits)).astype(np.int64) for x in (1, 0x452821E638D01377)]

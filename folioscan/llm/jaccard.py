@@ -32,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import components, map_arrow, mix64, pieces_of, range_hashes, save, utf8, words
+from folioscan.llm.common import IdFilter, components, map_arrow, mix64, pieces_of, range_hashes, save, utf8, words
 
 #: Most members of a routing group that one task compares with each other.
 BLOCK = 512
 #: Children of a node of a signature tree.
 FANOUT = 8
-#: Routing rows for each partition that groups them, and most bits of the filter that finds the texts whose sets are needed.
+#: Routing rows for each partition that groups them.
 ROUTES_A_PARTITION = 1_500_000
-FILTER_BITS = 1 << 28
 _SALTS = 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -202,38 +201,12 @@ def _grouped(routed: DataFrame, partitions: int) -> DataFrame:
     return routed.repartition(partitions, "route").mapInArrow(run, "kind int, a long, b long, c long")
 
 
-def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of ``bits`` bits, two hashes an id; false hits only cost work."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for h in _places(b.column(0).to_numpy(), bits):
-                np.bitwise_or.at(out, h >> 3, (1 << (h & 7)).astype(np.uint8))
-        words_ = out.view(np.int64)
-        at = np.flatnonzero(words_)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words_[at])], ["at", "word"])
-
-    out = np.zeros(bits // 64, np.int64)
-    parts = max(1, min(64, ids.sparkSession.sparkContext.defaultParallelism))
-    for r in ids.coalesce(parts).mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow().to_batches():
-        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
-    return out.view(np.uint8)
-
-
-def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(x)) % np.uint64(bits)).astype(np.int64) for x in (1, 0x452821E638D01377)]
-
-
 def _sets(df: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, tokens) of the texts in ``ids`` (distinct): a filter of bounded size picks rows, a join drops its false hits."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
-    sent = df.sparkSession.sparkContext.broadcast(_filter_of(ids, bits))
+    seen = IdFilter(ids)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        there = np.ones(batch.num_rows, bool)
-        for h in _places(batch.column(0).to_numpy(), bits):
-            there &= (sent.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+        there = seen.has(batch.column(0).to_numpy())
         if not there.any():
             return None
         batch = batch.filter(pa.array(there))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import jaccard, pii, quality
+from folioscan.llm import jaccard, pii, quality, spans
 from folioscan.llm.common import save
 
 
@@ -34,8 +34,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(feats, model).select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), score, F.when(score >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the sentences that a non-first repeated span covers."""
+    return spans.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op8_pii": op8_pii, "op9_quality": op9_quality}
+    return {"op1_jaccard": op1_jaccard, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
 
 
 def oracle_sql() -> dict[str, str]:
