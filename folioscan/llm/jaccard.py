@@ -7,8 +7,9 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of dis
 2. Routing keys bring together whatever can link. Sizes fall into bands; a set's hashes are dealt to ``m`` buckets,
    where linked sets of the band differ in fewer than ``m`` hashes, so at least one bucket that is not empty has the
    same hashes in both: the key is the hash of a bucket's content. No link is lost by it (see ``_routes``).
-3. The members of a routing group are first held against the smallest id there, and the links found are closed
-   to components. Only groups that still hold several components go on to the trees.
+3. The members of a routing group are first held against the smallest id there, first each against the one it shares
+   most groups with, then against the others, and the links found are closed to components. Only groups that still
+   hold several components go on to the trees, first for the best pair of each two components, then for all pairs.
 4. In such a group the representatives are leaves of a signature tree; a node holds the OR of its bitmaps and the
    size range below it. A dual traversal of two trees prunes node pairs whose largest possible overlap can't reach
    the threshold or whose leaves are one component already. Groups of more than ``BLOCK`` members are cut into blocks,
@@ -302,8 +303,11 @@ def _folded(maps: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, least // 8), axis=0) for m in maps])
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from the groups in ``members`` (gid, m members, rep, comp, n, bitmap) by dual traversal."""
+def _tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) from the groups in ``members`` (gid, m members, rep, comp, n, bitmap) by dual traversal.
+
+    ``best``: of the pairs that join the same two components in a task only the one with the most shared bits.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("gid", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "comp", "n", "bitmap")
@@ -322,6 +326,12 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             b = np.flatnonzero(own == j)
             found = dual_traversal(tree(a), tree(b), percent, False) if len(a) and len(b) else np.zeros((0, 2), np.int64)
             found = np.column_stack((a[found[:, 0]], b[found[:, 1]]))
+        if best and len(found):
+            p, q = found[:, 0], found[:, 1]
+            shared = np.bitwise_count(maps[p] & maps[q]).sum(axis=1, dtype=np.int64) / (n[p] + n[q])
+            order = np.lexsort((-shared, np.maximum(comp[p], comp[q]), np.minimum(comp[p], comp[q])))
+            lo, hi = np.minimum(comp[p], comp[q])[order], np.maximum(comp[p], comp[q])[order]
+            found = found[order[np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))]]
         x, y = rep[found[:, 0]], rep[found[:, 1]]
         return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
@@ -342,20 +352,29 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
     stars = groups.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c")).join(rep_of("a"), "a").join(rep_of("b"), "b")
     stars = save(stars.where("ra != rb").groupBy(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).agg(F.sum("c").alias("c")), "stars")
 
-    first = save(stars.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")), "first")
-    links = _linked(df, first, key, text, k, percent)
-    comp = save(components(links), "components")
     label = lambda d, c, to: d.join(comp.select(F.col("id").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-
-    rest = label(label(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
-    inside = save(label(groups.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("id")).join(member, "id"), "rep", "comp"), "inside")
-    mixed = inside.groupBy("gid").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gid", "m")
-    members = inside.join(mixed, "gid").join(seen.where("bitmap is not null").select("id", "bitmap"), "id")
-    second = save(rest.union(_tree_pairs(members, percent)).distinct().join(first, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        more = _linked(df, second, key, text, k, percent)
-        if not more.isEmpty():
-            comp = save(components(links.union(more)), "components")
+    apart = lambda pairs: label(label(pairs.join(tried, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
+    tried = save(stars.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")), "tried")
+    links = _linked(df, tried, key, text, k, percent)
+    comp = save(components(links), "components")
+    inside = None
+    for turn in ("stars", "best", "all"):
+        if turn == "stars":
+            pairs = apart(stars.select("a", "b"))
+        else:
+            if inside is None:
+                inside = save(groups.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("id")).join(member.select("id", "rep"), "id"), "inside")
+            labelled = label(inside, "rep", "comp")
+            mixed = labelled.groupBy("gid").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gid", "m")
+            members = labelled.join(mixed, "gid").join(seen.where("bitmap is not null").select("id", "n", "bitmap"), "id")
+            pairs = apart(_tree_pairs(members, percent, turn == "best"))
+        pairs = save(pairs, "pairs")
+        if not pairs.isEmpty():
+            more = _linked(df, pairs, key, text, k, percent)
+            tried = tried.union(pairs)
+            if not more.isEmpty():
+                links = links.union(more)
+                comp = save(components(links), "components")
     return label(member, "rep", "component").select("id", "n", "component")
 
 
