@@ -219,3 +219,21 @@ class IdFilter:
 
 def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(x)) % np.uint64(bits)).astype(np.int64) for x in (1, 0x452821E638D01377)]
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among ``ids`` (one column); only rows that the filter hits are moved."""
+    ids = save(ids.toDF("__id"), "ids")
+    seen, where, names = IdFilter(ids), df.columns.index(key), df.columns
+
+    def chosen(hit: bool):  # noqa: ANN202
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column(where)
+            there = seen.has(column.fill_null(0).cast(pa.int64()).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
+            return batch.filter(pa.array(there == hit))
+
+        return run
+
+    suspects = map_arrow(df, chosen(True), df.schema, None)
+    kept = suspects.join(ids, suspects[key].cast("long") == F.col("__id"), "left_anti")
+    return map_arrow(df, chosen(False), df.schema, None).union(kept.select(*names))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import IdFilter, components, map_arrow, mix64, pieces_of, range_hashes, save, utf8, words
+from folioscan.llm.common import IdFilter, components, map_arrow, mix64, pieces_of, range_hashes, save, utf8, without, words
 
 #: Most members of a routing group that one task compares with each other.
 BLOCK = 512
@@ -385,5 +385,4 @@ def _linked(df: DataFrame, pairs: DataFrame, key: str, text: str, k: int, percen
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose id is its own component, unchanged; rows with a null key stay."""
-    gone = classes(df, key, text, k, percent).where("component != id").select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, df[key].cast("long") == gone["__gone"], "left_anti")
+    return without(df, key, classes(df, key, text, k, percent).where("component != id").select("id").distinct())

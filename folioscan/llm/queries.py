@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import jaccard, pii, quality, spans
+from folioscan.llm import jaccard, packing, pii, quality, spans
 from folioscan.llm.common import save
 
 
@@ -21,6 +21,17 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents with the place of each in the packed sequences."""
+    rows = packing.pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(save(rows, "pieces"), ["doc_id", "start"])
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: counts and digest of the base kinds, and all spans."""
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
@@ -40,7 +51,7 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
+    return {"op1_jaccard": op1_jaccard, "op6_packing": op6_packing, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
 
 
 def oracle_sql() -> dict[str, str]:
