@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import jaccard, packing, pii, quality, spans
+from folioscan.llm import jaccard, packing, pii, quality, spans, urls, vectors
 from folioscan.llm.common import save
 
 
@@ -21,6 +21,12 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by cosine 0.98 or more between vectors of a label, and their components."""
+    found = vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with the place of each in the packed sequences."""
     rows = packing.pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -32,6 +38,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page rated against the list entries that were active on the day of its capture."""
+    captures = urls.captures_of(_table(spark, sf_dir, "pages"))
+    return urls.rate(captures, urls.sample_events(captures))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every text: counts and digest of the base kinds, and all spans."""
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
@@ -51,8 +63,8 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op6_packing": op6_packing, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
+    return {"op1_jaccard": op1_jaccard, "op2_embeddings": op2_embeddings, "op6_packing": op6_packing, "op7_urls": op7_urls, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_urls": urls.ORACLE}
