@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import jaccard, packing, pii, quality, spans, urls, vectors
+from folioscan.llm import jaccard, language, packing, pii, quality, sampling, spans, urls, vectors
 from folioscan.llm.common import save
 
 
@@ -27,6 +27,20 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by prototypes of the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.prototypes(docs.where(~language.held_out()))
+    return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every text, and whether it decodes to the text."""
+    rows = sampling.decode(sampling.encode(_table(spark, sf_dir, "documents")))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (text == F.col("decoded")).alias("lossless"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with the place of each in the packed sequences."""
     rows = packing.pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -63,7 +77,7 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op2_embeddings": op2_embeddings, "op6_packing": op6_packing, "op7_urls": op7_urls, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
+    return {"op1_jaccard": op1_jaccard, "op2_embeddings": op2_embeddings, "op4_language": op4_language, "op5_sampling": op5_sampling, "op6_packing": op6_packing, "op7_urls": op7_urls, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
 
 
 def oracle_sql() -> dict[str, str]:
