@@ -28,14 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
+def save(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what follows reads files that outlive any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscan-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

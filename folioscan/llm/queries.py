@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import jaccard, language, packing, pii, quality, sampling, spans, urls, vectors
+from folioscan.llm import jaccard, language, media, packing, pii, quality, sampling, spans, urls, vectors
 from folioscan.llm.common import save
 
 
@@ -27,6 +27,11 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as chunked samples and read back."""
+    return media.columns(_table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text by prototypes of the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -77,7 +82,7 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op2_embeddings": op2_embeddings, "op4_language": op4_language, "op5_sampling": op5_sampling, "op6_packing": op6_packing, "op7_urls": op7_urls, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
+    return {"op1_jaccard": op1_jaccard, "op2_embeddings": op2_embeddings, "op3_media": op3_media, "op4_language": op4_language, "op5_sampling": op5_sampling, "op6_packing": op6_packing, "op7_urls": op7_urls, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_spans": op10_spans}
 
 
 def oracle_sql() -> dict[str, str]:
