@@ -126,8 +126,8 @@ def routes(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of the bitmap for a set of ``n``: two to four for each element, a power of two from 64 to 8192."""
-    return 1 << min(13, max(6, (2 * n).bit_length()))
+    """Bits of the bitmap for a set of ``n``: eight to sixteen for each element, a power of two from 128 to 32768."""
+    return 1 << min(15, max(7, (8 * n).bit_length()))
 
 
 def bitmap(s: np.ndarray) -> bytes:
