@@ -127,15 +127,17 @@ def fit(labelled: DataFrame, label: str = "quality", pooled: float = POOLED, dia
         return Model(np.zeros(1), np.ones(1), [], [], [], math.log(share / (1 - share)))
     both = m[0] + m[1]
     shift = both[0, 1:] / both[0, 0]
-    scale = np.sqrt(np.maximum(np.diag(both)[1:] / both[0, 0] - shift**2, 0)) + 1e-6
+    scale = np.diag(both)[1:] / both[0, 0] - shift**2
+    scale = np.sqrt(np.where(scale > 1e-9, scale, 1.0))  # a statistic that is the same for all texts says nothing
     centres = [(m[c][0, 1:] / n[c] - shift) / scale for c in (0, 1)]
     raw = [(m[c][1:, 1:] / n[c] - np.outer(m[c][0, 1:], m[c][0, 1:]) / n[c] ** 2) / np.outer(scale, scale) for c in (0, 1)]
     within = (n[0] * raw[0] + n[1] * raw[1]) / sum(n)
     factors, logdets = [], []
     for c in (0, 1):
         s = (1 - pooled) * raw[c] + pooled * within
-        s = (1 - diagonal) * s + diagonal * np.diag(np.diag(s)) + RIDGE * np.eye(len(s))
-        chol = np.linalg.cholesky(s)
+        s = (1 - diagonal) * s + diagonal * np.diag(np.diag(s))
+        values, axes = np.linalg.eigh((s + s.T) / 2)
+        chol = np.linalg.cholesky((axes * np.maximum(values, 0)) @ axes.T + RIDGE * np.eye(len(s)))
         factors.append(np.linalg.inv(chol))
         logdets.append(2 * float(np.log(np.diag(chol)).sum()))
     return Model(shift, scale, centres, factors, logdets, math.log(n[1] / n[0]))
