@@ -363,7 +363,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
             pairs = apart(stars.select("a", "b"))
         else:
             if inside is None:
-                inside = save(groups.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("id")).join(member.select("id", "rep"), "id"), "inside")
+                inside = save(groups.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("id")).distinct().join(member.select("id", "rep"), "id"), "inside")
             labelled = label(inside, "rep", "comp")
             mixed = labelled.groupBy("gid").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gid", "m")
             members = labelled.join(mixed, "gid").join(seen.where("bitmap is not null").select("id", "n", "bitmap"), "id")
