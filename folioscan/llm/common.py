@@ -36,7 +36,17 @@ def save(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscan-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folioscan_path = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote and that nothing reads any more."""
+    for df in saved:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df.folioscan_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def pieces_of(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -135,7 +145,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = save(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        edges = save(star(star(edges, True), False), "star")
+        old, edges = edges, save(star(star(edges, True), False), "star")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import IdFilter, components, map_arrow, mix64, pieces_of, range_hashes, save, utf8, without, words
+from folioscan.llm.common import IdFilter, components, discard, map_arrow, mix64, pieces_of, range_hashes, save, utf8, without, words
 
 #: Most members of a routing group that one task compares with each other.
 BLOCK = 512
@@ -375,6 +375,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
             if not more.isEmpty():
                 links = links.union(more)
                 comp = save(components(links), "components")
+    discard(seen, groups, stars, *([inside] if inside is not None else []))
     return label(member, "rep", "component").select("id", "n", "component")
 
 

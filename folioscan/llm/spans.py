@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import IdFilter, map_arrow, mix64, range_hashes, save, sums_of_ranges, utf8, words
+from folioscan.llm.common import IdFilter, discard, map_arrow, mix64, range_hashes, save, sums_of_ranges, utf8, words
 
 SENTENCES, WORDS, LONG = 3, 20, 20
 _STOP = np.zeros(256, bool)
@@ -84,8 +84,11 @@ def _own(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lo, hi, h, again
 
 
-def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, first, last): the sentences of each text, numbered from 0, that a non-first occurrence covers."""
+def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """(id, first, last): the sentences of each text, numbered from 0, that a non-first occurrence covers.
+
+    Second, the written tables that it reads.
+    """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null")
 
     def every(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -108,7 +111,7 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     found = save(map_arrow(rows, wanted, "h long, id long, first int, last int, again boolean", text), "found")
     later = found.where("not again").join(shared, "h").where("id != least")
-    return later.select("id", "first", "last").union(found.where("again").select("id", "first", "last"))
+    return later.select("id", "first", "last").union(found.where("again").select("id", "first", "last")), [shared, found]
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +125,9 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def _applied(df: DataFrame, key: str, text: str, report: bool) -> DataFrame:
-    gone = save(removals(df, key, text).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts")), "cuts")
+    cuts, read = removals(df, key, text)
+    gone = save(cuts.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("cuts")), "cuts")
+    discard(*read)
     seen = IdFilter(gone.select("id"))
     names, kinds = df.columns, df.schema
     at, where = names.index(text), names.index(key)
