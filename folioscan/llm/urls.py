@@ -46,9 +46,9 @@ def _month(day: Column) -> Column:
 def rate(captures: DataFrame, events: DataFrame, host: str = "host", day: str = "day") -> DataFrame:
     """``captures`` with n_active, matched (the deciding key) and verdict (``block``, ``allow`` or ``pass``)."""
     seen = captures.select(F.col(host).alias("h"), F.col(day).alias("d")).where("h is not null and d is not null").distinct()
-    ends = seen.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    spans = intervals(events).crossJoin(F.broadcast(ends)).where("since <= hi and (until is null or until > lo)")  # one row: the days of the captures
-    months = F.sequence(_month(F.greatest("since", "lo")), _month(F.least(F.coalesce("until", "hi"), F.col("hi"))))
+    first, last = (F.lit(x).cast("date") for x in seen.agg(F.min("d"), F.max("d")).first())  # null without captures: then no interval is kept
+    spans = intervals(events).where((F.col("since") <= last) & (F.col("until").isNull() | (F.col("until") > first)))
+    months = F.sequence(_month(F.greatest("since", first)), _month(F.least(F.coalesce("until", last), last)))
     spans = spans.select("key", "action", "since", "until", F.explode(months).alias("m"))
     asked = seen.select("h", "d", F.explode(keys_of(F.col("h"))).alias("key"), _month(F.col("d")).alias("m"))
     active = asked.join(spans, ["key", "m"]).where("since <= d and (until is null or d < until)")
