@@ -9,7 +9,8 @@ Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of dis
    same hashes in both: the key is the hash of a bucket's content. No link is lost by it (see ``_routes``).
 3. The members of a routing group are first held against the smallest id there, first each against the one it shares
    most groups with, then against the others, and the links found are closed to components. Only groups that still
-   hold several components go on to the trees, first for the best pair of each two components, then for all pairs.
+   hold several components go on to the trees, first for the best pair of each two components, then, where
+   there were more, for all pairs.
 4. In such a group the representatives are leaves of a signature tree; a node holds the OR of its bitmaps and the
    size range below it. A dual traversal of two trees prunes node pairs whose largest possible overlap can't reach
    the threshold or whose leaves are one component already. Groups of more than ``BLOCK`` members are cut into blocks,
@@ -306,7 +307,8 @@ def _folded(maps: list[bytes]) -> np.ndarray:
 def _tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) from the groups in ``members`` (gid, m members, rep, comp, n, bitmap) by dual traversal.
 
-    ``best``: of the pairs that join the same two components in a task only the one with the most shared bits.
+    ``best``: of the pairs that join the same two components in a task only the one with the most shared bits; a row
+    without a pair names each group (``gid``) that has more.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -326,6 +328,7 @@ def _tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             b = np.flatnonzero(own == j)
             found = dual_traversal(tree(a), tree(b), percent, False) if len(a) and len(b) else np.zeros((0, 2), np.int64)
             found = np.column_stack((a[found[:, 0]], b[found[:, 1]]))
+        every = len(found)
         if best and len(found):
             p, q = found[:, 0], found[:, 1]
             shared = np.bitwise_count(maps[p] & maps[q]).sum(axis=1, dtype=np.int64) / (n[p] + n[q])
@@ -333,9 +336,10 @@ def _tree_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
             lo, hi = np.minimum(comp[p], comp[q])[order], np.maximum(comp[p], comp[q])[order]
             found = found[order[np.concatenate(([True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))]]
         x, y = rep[found[:, 0]], rep[found[:, 1]]
-        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+        pairs = pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y), "gid": pa.nulls(len(x), pa.int64())})
+        return pa.concat_tables([pairs, pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "gid": pa.array([key[0].as_py()])})]) if every > len(found) else pairs
 
-    return dealt.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long, gid long").distinct()
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -364,10 +368,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
         else:
             if inside is None:
                 inside = save(groups.where("kind = 1").select(F.col("a").alias("gid"), F.col("b").alias("id")).distinct().join(member.select("id", "rep"), "id"), "inside")
-            labelled = label(inside, "rep", "comp")
+            labelled = label(inside if turn == "best" else inside.join(more_in, "gid", "left_semi"), "rep", "comp")
             mixed = labelled.groupBy("gid").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gid", "m")
             members = labelled.join(mixed, "gid").join(seen.where("bitmap is not null").select("id", "n", "bitmap"), "id")
-            pairs = apart(_tree_pairs(members, percent, turn == "best"))
+            found = save(_tree_pairs(members, percent, turn == "best"), "found")
+            more_in, pairs = found.where("gid is not null").select("gid").distinct(), apart(found.where("a is not null").select("a", "b"))
         pairs = save(pairs, "pairs")
         if not pairs.isEmpty():
             more = _linked(df, pairs, key, text, k, percent)
