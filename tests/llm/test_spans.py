@@ -58,3 +58,28 @@ def test_passage_without_stops_is_found_inside_other_text(spark):
     rows = [(k, " ".join(word() for _ in range(15 + k)) + " " + passage + " " + " ".join(word() for _ in range(9))) for k in range(2)]
     a, b = sorted(spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert a.n_removed == 0 and len(b.text.split()) < 16 + 9 + 30
+
+
+def test_passages_inside_sentences_against_brute_force_on_words(spark):
+    r = random.Random(11)
+    fresh = iter(range(10**6))
+    word = lambda: f"{r.choice('abcdefgh')}{next(fresh)}" + r.choice(["", "", "", "", ".", "\n"])
+    passages = [[f"p{k}x{n}" + ("." if r.random() < 0.03 * (k % 3) else "") for n in range(51 + k)] for k in range(20)]
+    docs = []
+    for k in range(80):
+        words = [word() for _ in range(r.randint(0, 40))] + [x + r.choice([""] * 19 + ["\n"]) for x in passages[k % 20]] + [word() for _ in range(r.randint(0, 40))]
+        docs.append((k, " ".join(words)))
+    texts = {k: t.split() for k, t in docs}
+    covered = {}  # the words that a non-first occurrence of so many words in a row covers
+    for size in (spans.WORDS, 51):
+        seen, covered[size] = set(), {k: set() for k in texts}
+        for k, t in texts.items():
+            for a in range(len(t) - size + 1):
+                here = tuple(t[a : a + size])
+                covered[size][k] |= set(here) if here in seen else set()
+                seen.add(here)
+    got = {x.doc_id: x for x in spans.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, t in texts.items():
+        gone = set(t) - set(got[k].text.split())
+        assert len(covered[51][k] - gone) <= 15 and gone <= covered[spans.WORDS][k]
+        assert bool(gone) == (got[k].n_removed > 0) == (k >= 20)
