@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import save
+
 # Macros and words that refer, decorations and words that define.
 EQUATION_MACROS = ("eqref",)
 REFERENCE_MACROS = ("ref", "autoref", "cref", "Cref", "vref", "Vref", "labelcref", "nameref")
@@ -159,31 +161,87 @@ def occurrences(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
 
 # ---- context
 
-BEFORE, AFTER, CHARACTERS, RELATED = 2, 16, 6000, 12
+BEFORE, AFTER, CHARACTERS, RELATED, PREMISES = 2, 16, 6000, 12, 12
+LISTS = ("proofs", "proves", "equations", "floats", "citations", "references")
 BOUNDARIES = ("section", "subsection", "bibliography_entry", *THEOREMS, "proof")
 
 
+def _related(f: DataFrame, origins: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(version, focus, list, source, other, relation, kind, lost) for the edges from ``origins``, the proofs of each focus and the
+    captions of its floats; ``lost`` says of a caption that no figure or table is known for it."""
+    edge = links.select("version", "source", "relation", "target")
+    out = origins.withColumnRenamed("node", "source").join(edge, ["version", "source"]).where("relation <> 'proves' or target <> focus")
+    relation = F.col("relation")
+    named = F.when(relation == "proves", "proves").when(relation == "refers_to_equation", "equations").when(relation == "cites", "citations").when(relation.isin("refers_to_figure", "refers_to_table", "caption_of"), "floats").otherwise("references")
+    out = out.select("version", "focus", named.alias("list"), "source", F.col("target").alias("other"), "relation")
+    proofs = f.select("version", "focus").join(edge.where("relation = 'proves'").withColumnRenamed("target", "focus"), ["version", "focus"])
+    out = out.union(proofs.select("version", "focus", F.lit("proofs"), F.col("focus"), F.col("source"), "relation"))
+    captions = origins.join(edge.where("relation = 'caption_of'").withColumnRenamed("target", "node"), ["version", "node"])
+    out = out.union(captions.select("version", "focus", F.lit("floats"), "source", F.col("node"), "relation"))
+    once = F.when(F.col("list") == "floats", "").otherwise(F.col("relation"))
+    out = out.groupBy("version", "focus", "list", "source", "other", once.alias("once")).agg(F.min("relation").alias("relation")).drop("once")
+    held = edge.where("relation = 'caption_of'").select("version", F.col("source").alias("other"), F.lit(True).alias("held")).distinct()
+    out = out.join(nodes.select("version", F.col("node").alias("other"), "kind"), ["version", "other"]).join(held, ["version", "other"], "left")
+    return out.withColumn("lost", (F.col("list") == "floats") & ~F.col("kind").isin("figure", "table") & F.col("held").isNull()).drop("held")
+
+
+def _backing(f: DataFrame, origins: DataFrame, nodes: DataFrame, related: DataFrame) -> DataFrame:
+    """(version, focus, premises): definitions that the references name, then those of symbols, one a surface: of those before the
+    focus the one whose symbol occurs in a formula of it, else in its text as ``$symbol$``; described and late ones go first."""
+    named = related.where("list = 'references' and kind = 'definition'").groupBy("version", "focus", "other").agg(F.min("source").alias("source"))
+    entry = lambda rank, source, surface, node, via, said: F.struct(F.lit(rank).alias("rank"), source.cast("long").alias("source"), surface.cast("string").alias("surface"), node.cast("long").alias("node"), via.alias("via"), said.cast("string").alias("description"))
+    none = F.lit(None)
+    rows = named.select("version", "focus", entry(0, F.col("source"), none, F.col("other"), F.lit("reference"), none).alias("p"))
+    symbols = save(scoped_symbols(nodes), "symbols")
+    w = Window.partitionBy("version", "focus").orderBy("source", "other")
+    formulas = related.where("list = 'equations'").withColumn("n", F.row_number().over(w)).where(F.col("n") <= RELATED).select("version", "focus", F.col("other").alias("node"))
+    seen = origins.union(formulas).distinct().join(occurrences(symbols, nodes).select("version", "node", "surface"), ["version", "node"]).select("version", "focus", "surface", F.lit(2).alias("occurs")).distinct()
+    said = origins.join(nodes.select("version", "node", "text"), ["version", "node"]).groupBy("version", "focus").agg(F.array_join(F.collect_list("text"), "\n").alias("said"))
+    hits = f.select("version", "focus", "at").join(symbols, "version").where("ordinal < at").join(seen, ["version", "focus", "surface"], "left").join(said, ["version", "focus"], "left")
+    hits = hits.withColumn("how", F.coalesce("occurs", F.when(F.contains("said", F.concat(F.lit("$"), F.col("surface"), F.lit("$"))), 1))).where("how is not null")
+    best = hits.groupBy("version", "focus", "surface").agg(F.max_by(F.struct("node", "description", "how"), F.struct("how", F.col("description").isNotNull(), "ordinal", "node")).alias("d"))
+    via = F.when(F.col("d.how") == 2, "occurrence").otherwise("symbol")
+    rows = rows.union(best.select("version", "focus", entry(1, none, F.col("surface"), F.col("d.node"), via, F.col("d.description"))))
+    return rows.groupBy("version", "focus").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["via"].alias("via"), p["node"].alias("node"), p["surface"].alias("surface"), p["description"].alias("description"))).alias("premises"))
+
+
 def context(nodes: DataFrame, focus: DataFrame, links: DataFrame) -> DataFrame:
     """For each focus (version, node): its section path, the blocks before it, what continues it to the next boundary within
-    a budget, and related nodes by relation; lists are in reading order and capped."""
+    a budget, related nodes, premises and notes.
+
+    ``related`` has a list for each of ``LISTS``, from edges of the focus and of its continuation, in the order of (source, other) and
+    each capped by itself; it is null without edges. ``notes`` says what was cut, a proof of something that is no theorem, and a
+    float of which only the caption is known.
+    """
     f = focus.join(nodes.select("version", "node", F.col("ordinal").alias("at"), F.col("text").alias("focus_text")), ["version", "node"]).withColumnRenamed("node", "focus")
     stop = F.col("kind").isin(*BOUNDARIES)
     rows = f.join(nodes, "version").where("trim(text) <> ''")
     later = rows.where("ordinal > at")
     w = Window.partitionBy("version", "focus").orderBy("ordinal")
     later = later.withColumn("ends", F.sum(stop.cast("int")).over(w)).where("ends = 0").withColumn("n", F.row_number().over(w)).withColumn("chars", F.sum(F.char_length("text")).over(w))
-    after = later.where((F.col("n") <= AFTER) & (F.col("chars") <= CHARACTERS)).groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("continuation"))
+    fits = (F.col("n") <= AFTER) & (F.col("chars") <= CHARACTERS)
+    after = later.where(fits).groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("continuation"))
+    short = later.groupBy("version", "focus").agg(F.max(~fits).alias("short"))
+    origins = f.select("version", "focus", F.col("focus").alias("node")).union(later.where(fits).select("version", "focus", "node"))
     back = Window.partitionBy("version", "focus").orderBy(F.desc("ordinal"))
     earlier = rows.where("ordinal < at").withColumn("passed", F.coalesce(F.sum(stop.cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = earlier.where("passed = 0").withColumn("n", F.row_number().over(back)).where(F.col("n") <= BEFORE).groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("before"))
     heads = rows.where("ordinal < at and level is not null").withColumn("least", F.min("level").over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    path = heads.where("least is null or level < least").groupBy("version", "focus").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), 1, 4).alias("path"))
-    both = links.select("version", F.col("source").alias("focus"), "relation", F.col("target").alias("other")).union(links.select("version", F.col("target"), F.concat(F.col("relation"), F.lit("_by")), F.col("source")))
-    related = f.select("version", "focus").join(both, ["version", "focus"]).groupBy("version", "focus").agg(F.slice(F.array_sort(F.collect_set(F.struct("relation", "other"))), 1, RELATED).alias("related"))
+    path = heads.where("least is null or level < least").groupBy("version", "focus").agg(F.reverse(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text")), asc=False), lambda x: x["text"]), 1, 4)).alias("path"))
+    origins = save(origins, "origins")
+    edge = save(_related(f, origins, nodes, links), "related")
+    of = lambda name: F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("source", "other", "relation")))).alias(name)
+    other = F.max((F.col("list") == "proves") & ~F.col("kind").isin("theorem", "lemma", "proposition", "corollary")).alias("other_target")
+    every = edge.groupBy("version", "focus").agg(*(of(x) for x in LISTS), other, F.max("lost").alias("lost"))
+    many = F.greatest(*(F.size(x) for x in LISTS)) > RELATED
+    related = every.select("version", "focus", F.struct(*(F.slice(x, 1, RELATED).alias(x) for x in LISTS)).alias("related"), many.alias("many"), "other_target", "lost")
+    premise = _backing(f, origins, nodes, edge)
     out = f.select("version", "focus", F.substring("focus_text", 1, 4000).alias("text"))
-    for part in (path, before, after, related):
+    for part in (path, before, after, related, premise, short):
         out = out.join(part, ["version", "focus"], "left")
-    return out
+    said = (("continuation_truncated", F.col("short")), ("proves_target_is_not_a_theorem", F.col("other_target")), ("float_entity_unreachable", F.col("lost")), ("related_truncated", F.col("many")), ("premises_truncated", F.size("premises") > PREMISES))
+    notes = F.array_compact(F.array(*(F.when(there, name) for name, there in said)))
+    return out.withColumn("notes", notes).withColumn("premises", F.slice("premises", 1, PREMISES)).drop("short", "many", "other_target", "lost")
 
 
 def reading_order(nodes: DataFrame) -> DataFrame:

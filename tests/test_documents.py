@@ -120,6 +120,22 @@ def test_context_stops_at_boundaries(spark):
     assert out.path == ["A", "B"] and out.before == [2, 3] and out.continuation == [5, 6] and out.related is None
 
 
+def test_context_lists_are_capped_by_themselves(spark):
+    cites = r"\cite{" + ",".join(f"b{k}" for k in range(13)) + "}"
+    rows = [("section", str(k), [], None, k) for k in range(1, 7)]
+    rows += [("definition", r"Let $g$ be a group.", ["d"], None, None), ("paragraph", r"Let $h$ be a map. Here $q$ denotes a set and $u$ denotes a cell.", [], None, None), ("display_math", "h = 1", ["e"], None, None)]
+    rows += [("theorem", rf"T {cites}", ["t"], "1", None), ("paragraph", r"By \eqref{e}, \ref{d}, \ref{f} and $q$.", [], None, None), ("proof", "P", [], None, None), ("figure_caption", "c", ["f"], None, None)]
+    rows += [("bibliography_entry", "b", [f"b{k}"], None, None) for k in range(13)]
+    n = _nodes(spark, rows)
+    out = graph.context(n, n.where("kind in ('theorem', 'proof')").select("version", "node"), graph.edges(n)).orderBy("focus").collect()
+    got = {k: [(x.source, x.other) for x in v] for k, v in out[0].related.asDict().items()}
+    assert out[0].path == ["3", "4", "5", "6"]
+    assert got == {"proofs": [(9, 11)], "proves": [], "equations": [(10, 8)], "floats": [(10, 12)], "citations": [(9, 13 + k) for k in range(12)], "references": [(10, 6)]}
+    assert [(x.via, x.node, x.surface) for x in out[0].premises] == [("reference", 6, None), ("occurrence", 7, "h"), ("symbol", 7, "q")]
+    assert out[0].notes == ["float_entity_unreachable", "related_truncated"]
+    assert [(x.source, x.other) for x in out[1].related.proves] == [(11, 9)] and out[1].notes == []
+
+
 def test_incremental_ingest(spark, tmp_path):
     src, store, mark = (str(tmp_path / x) for x in ("src", "store", "mark"))
     write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
