@@ -137,14 +137,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]] | None = None) -> str | None:
-    """``text`` with every span replaced by its kind in brackets; where spans overlap, the one that starts first counts."""
+    """``text`` with every span replaced by its kind in brackets; where spans overlap, the kind of the one that starts first stands for all that they cover."""
     if not text:
         return text
     out, at = [], 0
     for kind, lo, hi in sorted(find(text) if spans is None else spans, key=lambda s: (s[1], -s[2])):
         if lo >= at:
             out += [text[at:lo], f"[{kind.upper()}]"]
-            at = hi
+        at = max(at, hi)
     return "".join([*out, text[at:]]) if out else text
 
 

@@ -45,6 +45,14 @@ def test_pii_added_kinds_and_redaction():
     assert pii.redact(t) == 'see [URL]. token = "[SECRET]" and [IBAN] mail [EMAIL], [CARD]'
 
 
+def test_redaction_leaves_no_tail_of_an_overlapping_span():
+    t = "from 10.0.0.1 4111111111111111 on"
+    found = pii.find(t)
+    redacted = pii.redact(t)
+    assert redacted.startswith("from [IP") and not any(t[hi - 6 : hi] in redacted for _, _, hi in found)
+    assert pii.redact("abcdefgh!", [("secret", 0, 4), ("email", 2, 7), ("ip", 3, 5)]) == "[SECRET]h!"
+
+
 def test_pii_tables(spark):
     df = odd_table(spark)
     out = pii.digest(pii.detect(df))
