@@ -244,20 +244,24 @@ def context(nodes: DataFrame, focus: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("notes", notes).withColumn("premises", F.slice("premises", 1, PREMISES)).drop("short", "many", "other_target", "lost")
 
 
+DEPTH = 64
+
+
 def reading_order(nodes: DataFrame) -> DataFrame:
     """Pre-order position of (version, node, parent, ordinal) trees; nodes without a reachable root come last.
 
-    A recursive common table expression builds sort paths; they are as deep as the tree.
+    A recursive common table expression builds sort paths; they are as deep as the tree, and one of more than ``DEPTH`` levels is
+    an error.
     """
     spark = nodes.sparkSession
     nodes.createOrReplaceTempView("__tree")
-    paths = spark.sql("""
+    paths = spark.sql(f"""
         WITH RECURSIVE p AS (
           SELECT version, node, array(struct(ordinal, node)) AS path, 0 AS depth FROM __tree WHERE parent IS NULL
           UNION ALL
           SELECT t.version, t.node, concat(p.path, array(struct(t.ordinal, t.node))), p.depth + 1
-          FROM __tree t JOIN p ON t.version = p.version AND t.parent = p.node WHERE p.depth < 64)
-        SELECT version, node, path FROM p""")
+          FROM __tree t JOIN p ON t.version = p.version AND t.parent = p.node WHERE p.depth < {DEPTH})
+        SELECT version, node, CASE WHEN depth < {DEPTH} THEN path ELSE raise_error('the tree is deeper than {DEPTH} levels') END AS path FROM p""")
     rows = nodes.join(paths, ["version", "node"], "left")
     w = Window.partitionBy("version").orderBy(F.col("path").isNull(), "path", "parent", "ordinal", "node")
     return rows.select("version", "node", (F.row_number().over(w) - 1).cast("long").alias("position"))

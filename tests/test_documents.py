@@ -5,6 +5,7 @@ import io
 import tarfile
 
 import pandas as pd
+import pytest
 
 from folioscan.operators import figures, graph, structure, tex
 from folioscan.sources import bibtex
@@ -136,6 +137,13 @@ def test_context_lists_are_capped_by_themselves(spark):
     assert [(x.source, x.other) for x in out[1].related.proves] == [(11, 9)] and out[1].notes == []
 
 
+def test_reading_order_of_deep_trees(spark):
+    tree = lambda n: spark.createDataFrame([(1, k, k - 1 if k else None, -k) for k in range(n)], "version long, node long, parent long, ordinal long")
+    assert [r.position for r in graph.reading_order(tree(graph.DEPTH)).orderBy("node").collect()] == list(range(graph.DEPTH))
+    with pytest.raises(Exception, match="deeper than 64"):
+        graph.reading_order(tree(graph.DEPTH + 1)).collect()
+
+
 def test_incremental_ingest(spark, tmp_path):
     src, store, mark = (str(tmp_path / x) for x in ("src", "store", "mark"))
     write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
