@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,29 +50,100 @@ def discard(*saved: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that are not among ``taken``, whatever their case."""
+    low, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Most rows of an Arrow batch where the session leaves Spark's own number, so that a batch of texts stays small.
+BATCH_ROWS = 2000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+
+
+_STEADY: list[bool] = []
+
+
+def steady() -> None:
+    """Give freed arrays back to the system, so that a worker used again doesn't keep the peak of an earlier stage."""
+    if not _STEADY:
+        _STEADY.append(True)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 2 << 20)  # arrays of 2 MB or more are mapped on their own
+            libc.mallopt(-1, 8 << 20)  # and at most 8 MB stay free at the top of the heap
+
+
+def settle() -> None:
+    """At the end of a task: hand back what the allocators of Arrow and C hold free."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces_of(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``most_bytes`` of ``text`` each; a longer single text is a slice of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64)
     group = (np.cumsum(sizes) - sizes) // most_bytes
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
+    long = sizes > most_bytes  # stands alone, whatever came before it
+    new = (np.diff(group) != 0) | long[1:] | long[:-1]
+    cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [batch.num_rows]))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(lo, hi - lo)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, text: str | None = "text", most_bytes: int = 2 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, text: str | None = "text", most_bytes: int = 1 << 20) -> DataFrame:
     """Apply ``fn`` to the Arrow batches of ``df``, cut to ``most_bytes`` of ``text`` so that memory stays bounded."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in batches:
             if batch.num_rows:
                 for part in pieces_of(batch, text, most_bytes) if text else [batch]:
                     out = fn(part)
                     if out is not None and out.num_rows:
                         yield out
+        settle()
 
     return df.mapInArrow(run, schema)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal ``keys`` from batches that are sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != v[0]
+        cuts = np.flatnonzero(new)
+        if len(cuts):  # rows from the last cut on may go on in the next batch
+            done = [*held, batch.slice(0, int(cuts[-1]))]
+            done = [b for b in done if b.num_rows]
+            if done:
+                yield pa.Table.from_batches(done)
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     column = column.fill_null("") if column.null_count else column
@@ -97,13 +169,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Most values that are weighed by powers at a time, and so the size of the tables of powers.
+_STRIDE = 1 << 20
 
 
 def _powers(n: int) -> list[np.ndarray]:
     """At least ``n`` powers of an odd base modulo 2**64, and those of its inverse."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            row = np.full(max(n, 1 << 16), base, np.uint64)
+            row = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
             row[0] = 1
             _POWERS[k] = np.multiply.accumulate(row)
     return _POWERS
@@ -112,20 +186,54 @@ def _powers(n: int) -> list[np.ndarray]:
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def _sum_of_long(values: Callable[[int, int], np.ndarray], lo: int, hi: int) -> np.uint64:
+    total = 0
+    for at in range(lo, hi, _STRIDE):
+        part = values(at, min(at + _STRIDE, hi))
+        total += int((part * _powers(len(part))[0][: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at - lo, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+def _sums(values: Callable[[int, int], np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Order-sensitive sums of the ranges [start, end) of the 64-bit numbers that ``values`` gives for a stretch.
+
+    At most ``_STRIDE`` numbers are held at a time, however long the ranges are.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    order = None if (starts[1:] >= starts[:-1]).all() else np.argsort(starts, kind="stable")
+    a, z = (starts, ends) if order is None else (starts[order], ends[order])
+    sums, k = np.zeros(len(a), np.uint64), 0
+    while k < len(a):
+        lo = int(a[k])
+        stop = int(np.searchsorted(a, lo + _STRIDE // 2, side="left"))
+        x, y = a[k:stop] - lo, z[k:stop] - lo
+        short = y <= _STRIDE
+        top = int(y[short].max(initial=0))
+        if top:
+            forth, back = _powers(top + 1)
+            total = np.zeros(top + 1, np.uint64)
+            np.cumsum(values(lo, lo + top) * forth[:top], out=total[1:])
+            sums[k:stop][short] = (total[y[short]] - total[x[short]]) * back[x[short]]
+        for i in np.flatnonzero(~short):
+            sums[k + i] = _sum_of_long(values, int(a[k + i]), int(z[k + i]))
+        k = stop
+    if order is None:
+        return sums
+    out[order] = sums
+    return out
+
+
 def sums_of_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Order-sensitive sums of the ranges [start, end) of 64-bit values: equal values, equal sum."""
-    forth, back = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * forth[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * back[starts]
+    return _sums(lambda lo, hi: values[lo:hi], starts, ends)
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges [start, end): equal bytes, equal hash."""
-    return mix64(sums_of_ranges(_BYTE_CODES[data], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return mix64(_sums(lambda lo, hi: _BYTE_CODES[data[lo:hi]], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (id, component) per id that a link names.
 
     ``component`` is the smallest id reachable. Alternates large and small stars until nothing changes;
@@ -175,8 +283,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often ``mask`` holds within each text."""
-    sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = offsets[1:] > offsets[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(mask, offsets[:-1][some], dtype=np.int64)
+    return out
 
 
 def distinct_per_text(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -218,6 +329,10 @@ class IdFilter:
             out[r.column(0).to_numpy()] = r.column(1).to_numpy()
         self.sent = spark.sparkContext.broadcast(out.view(np.uint8))
 
+    def destroy(self) -> None:
+        """Free the executors' copies; a job that runs again sends them anew."""
+        self.sent.unpersist()
+
     def __getstate__(self) -> dict:
         return {"bits": self.bits, "sent": self.sent}
 
@@ -230,21 +345,3 @@ class IdFilter:
 
 def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(x)) % np.uint64(bits)).astype(np.int64) for x in (1, 0x452821E638D01377)]
-
-
-def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is not among ``ids`` (one column); only rows that the filter hits are moved."""
-    ids = save(ids.toDF("__id"), "ids")
-    seen, where, names = IdFilter(ids), df.columns.index(key), df.columns
-
-    def chosen(hit: bool):  # noqa: ANN202
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column(where)
-            there = seen.has(column.fill_null(0).cast(pa.int64()).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
-            return batch.filter(pa.array(there == hit))
-
-        return run
-
-    suspects = map_arrow(df, chosen(True), df.schema, None)
-    kept = suspects.join(ids, suspects[key].cast("long") == F.col("__id"), "left_anti")
-    return map_arrow(df, chosen(False), df.schema, None).union(kept.select(*names))
