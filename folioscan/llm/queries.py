@@ -24,7 +24,7 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by cosine 0.98 or more between vectors of a label, and their components."""
     found = vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
-    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
