@@ -4,7 +4,8 @@ An Aho-Corasick automaton walks each text once and finds anchors: at-signs, digi
 cues. A deterministic parser per kind then expands an anchor to the run of characters that its kind allows and
 validates what stands there. No text is scanned by a pattern as a whole.
 
-Kinds, in order: email, ip, card, phone (the base kinds), then url, iban, secret (``token = "…"`` and the like).
+Kinds, in order: email, ip, card, phone (the base kinds), then url, iban, secret (``token = "…"`` and the like, bearer
+tokens, and access keys that are known by their prefix).
 
 Defined results: a null text counts as empty and has no spans; equal texts have equal spans; columns of the input
 other than the key and the text are ignored; an empty table gives an empty result. Texts of any length are read
@@ -27,7 +28,9 @@ from folioscan.llm.common import map_arrow
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "secret")
 SCHEMES = ("http://", "https://", "ftp://")
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
+CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "bearer", "authorization")
+#: Prefixes of access keys, and what follows them in the public formats.
+PREFIXES = {"AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "ghp_": "[A-Za-z0-9]{36}", "gho_": "[A-Za-z0-9]{36}", "github_pat_": "[A-Za-z0-9_]{22,}", "xoxb-": "[A-Za-z0-9-]{20,}", "xoxp-": "[A-Za-z0-9-]{20,}", "AIza": "[A-Za-z0-9_-]{35}", "sk_live_": "[A-Za-z0-9]{16,}", "glpat-": "[A-Za-z0-9_-]{20,}", "eyJ": r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"}
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
@@ -40,6 +43,8 @@ _PHONE_RUN = re.compile(r"\+[ ().0-9-]*")
 _URL_REST = re.compile(r"""[^\s<>"'`|\\^{}\[\]]+""")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SECRET = re.compile(r"""(?i:["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9_+/=.-]{12,})""")
+_BEARER = re.compile(r"\s{1,3}([A-Za-z0-9_+/=.-]{16,})")
+_AFTER = {p: re.compile(rest + "(?![A-Za-z0-9])") for p, rest in PREFIXES.items()}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -55,7 +60,7 @@ def luhn(digits: str) -> bool:
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for word, kind in [("@", "@"), *((d, "0") for d in "0123456789"), *((s, "url") for s in SCHEMES), *((c, "cue") for c in CUES), *((c.upper(), "cue") for c in CUES), *((c.capitalize(), "cue") for c in CUES)]:
+    for word, kind in [("@", "@"), *((d, "0") for d in "0123456789"), *((s, "url") for s in SCHEMES), *((c, "cue") for c in CUES), *((c.upper(), "cue") for c in CUES), *((c.capitalize(), "cue") for c in CUES), *((p, "prefix") for p in PREFIXES)]:
         a.add_word(word, (kind, len(word)))
     a.make_automaton()
     return a
@@ -71,6 +76,11 @@ def _back(text: str, at: int, least: int, allowed: frozenset | str) -> int:
     return at
 
 
+def _small(digits: str) -> bool:
+    """Whether a number without leading zeros, of whatever length, is at most 255."""
+    return len(digits) < 3 or (len(digits) == 3 and int(digits) <= 255)
+
+
 def _digit_spans(text: str, at: int, done: dict[str, int]) -> Iterator[tuple[str, int, int]]:
     """What the digit at ``at`` belongs to. A run that was parsed once is not parsed again."""
     if at >= done["ip"]:
@@ -78,7 +88,7 @@ def _digit_spans(text: str, at: int, done: dict[str, int]) -> Iterator[tuple[str
         done["ip"] = hi = _IP_RUN.match(text, at).end()
         if text.count(".", lo, hi) >= 3:
             for m in _IP.finditer(text, lo, hi):
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+                if all(_small(x.lstrip("0")) for x in m[0].split(".")):
                     yield "ip", m.start(), m.end()
     if at >= done["card"]:
         lo = _back(text, at, 0, "0123456789 -")
@@ -130,7 +140,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 if hi > last + 1:
                     done["url"] = hi
                     found["url"].append((lo, hi))
-        elif last >= done["secret"] and (m := _SECRET.match(text, last + 1)):
+        elif last + 1 - size < done["secret"]:
+            continue  # within a secret that was found
+        elif kind == "prefix":
+            lo = last + 1 - size
+            if (lo == 0 or not text[lo - 1].isalnum()) and (m := _AFTER[text[lo : last + 1]].match(text, last + 1)):
+                done["secret"] = m.end()
+                found["secret"].append((lo, m.end()))
+        elif m := _SECRET.match(text, last + 1) or (_BEARER.match(text, last + 1) if text[last - 5 : last + 1].lower() == "bearer" else None):
             done["secret"] = m.end()
             found["secret"].append(m.span(1))
     return [(k, lo, hi) for k in KINDS for lo, hi in found[k]]
@@ -178,10 +195,10 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans, and all spans as text."""
+    """Counts of the base kinds, the hash of the base spans, and all spans as text with their number."""
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return spans.select(key, *(of(k) for k in BASE_KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return spans.select(key, *(of(k) for k in BASE_KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def base_digest(spans: list[tuple[str, int, int]]) -> str:
