@@ -8,8 +8,10 @@ Letters a to z are symbols of their own, all others share ``OTHERS`` symbols by
 boundary, and so are a text's ends. Whole texts are read.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without training texts every text is; ties
-go to the language that sorts first; equal texts get equal results; other columns are ignored; an empty table
-gives an empty result. Rows with a null language or text teach nothing.
+go to the language that sorts first; equal texts get equal results, to the last bit and
+whatever else is in their batch, as profiles are whole numbers; other columns are ignored; an empty table
+gives an empty result. Rows with a null language or text teach nothing. Any number of languages is taken; the
+model, 8 KB a language, is all that the driver holds and sends.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import map_arrow, pieces_of
+from folioscan.llm.common import map_arrow, pieces_of, settle, small_batches, steady
 
-DIMENSIONS, OTHERS, MOST_LANGUAGES = 1024, 16, 2000
+DIMENSIONS, OTHERS = 1024, 16
+#: Languages whose trigrams a task counts at a time, and trigrams whose vectors are added at a time (exact in single precision).
+_COUNTED, _ADDED = 64, 1 << 23
 _SYMBOLS = 27 + OTHERS
 _TABLE: list[np.ndarray] = []
 
@@ -78,10 +82,25 @@ class Space:
             at = self.place[code]
         return at
 
-    def profile(self, code: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
-        at = np.bincount(self.places(code), weights=count, minlength=self.n)
-        some = np.flatnonzero(at)
-        return at[some].astype(np.float32) @ self.vectors[some]
+    def bundle(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of different trigrams, each as often as ``count`` says, in whole numbers.
+
+        Each product is a sum of whole numbers below 2 ** 24 in all, which single precision adds exactly in any order.
+        """
+        at, out = self.places(code), np.zeros(self.vectors.shape[1], np.int64)
+        while len(at):
+            part = np.minimum(count, _ADDED)
+            stop = max(1, int(np.searchsorted(np.cumsum(part), _ADDED, side="right")))
+            out += (part[:stop].astype(np.float32) @ self.vectors[at[:stop]]).astype(np.int64)
+            count = count.copy()
+            count[:stop] -= part[:stop]
+            left = count > 0
+            at, count = at[left], count[left]
+        return out
+
+    def profile(self, code: np.ndarray) -> np.ndarray:
+        some, count = np.unique(code, return_counts=True)
+        return self.bundle(some, count)
 
 
 _SPACES: dict[tuple[int, int], Space] = {}
@@ -94,54 +113,63 @@ def _space(dimensions: int, seed: int) -> Space:
 
 
 def prototypes(df: DataFrame, lang: str = "lang", text: str = "text", dimensions: int = DIMENSIONS, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their unit prototypes, from all rows of ``df`` that have both."""
+    """Languages in order and their unit prototypes, from all rows of ``df`` that have both.
+
+    Tasks bundle what they read into one vector of whole numbers a language, and the vectors are added on the executors:
+    the driver sees ``dimensions`` numbers for each language, whatever the number of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
+        counts: dict[str, np.ndarray] = {}
         sums: dict[str, np.ndarray] = {}
+
+        def bundle() -> None:
+            for name, count in counts.items():
+                some = np.flatnonzero(count)
+                sums[name] = sums.get(name, 0) + _space(dimensions, seed).bundle(some, count[some])
+            counts.clear()
+
         for batch in batches:
-            for part in pieces_of(batch, text, 2 << 20) if batch.num_rows else ():
+            for part in pieces_of(batch, "text", 1 << 20) if batch.num_rows else ():
                 code, at, _ = trigrams(part.column(1).to_pylist())
                 names = np.array(part.column(0).to_pylist(), object)
                 who = np.repeat(np.arange(len(names)), np.diff(at))
                 for name in dict.fromkeys(names):
-                    sums[name] = sums.get(name, 0) + np.bincount(code[(names == name)[who]], minlength=_SYMBOLS**3)
-        for name, count in sums.items():
-            some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some.astype(np.int32)), pa.array(count[some])], ["lang", "code", "n"])
-
-    known = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias(text)).where(f"lang is not null and `{text}` is not null")
-    if (n := known.select("lang").distinct().count()) > MOST_LANGUAGES:
-        raise ValueError(f"{n} languages; {MOST_LANGUAGES} at most")
-    counts = known.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(counts.column("lang").to_pylist()))
-    space, out = _space(dimensions, seed), np.zeros((len(names), dimensions))
-    who, code, n = np.array(counts.column("lang").to_pylist(), object), counts.column("code").to_numpy(), counts.column("n").to_numpy()
-    for k, name in enumerate(names):
-        order = np.argsort(code[who == name])
-        out[k] = space.profile(code[who == name][order], n[who == name][order].astype(float))
-    return names, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+                    if len(counts) >= _COUNTED and name not in counts:
+                        bundle()
+                    counts[name] = counts.get(name, 0) + np.bincount(code[(names == name)[who]], minlength=_SYMBOLS**3)
+        bundle()
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)], ["lang", "at", "v"])
+        settle()
+
+    known = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
+    small_batches(df.sparkSession)
+    added = known.mapInArrow(run, "lang string, at int, v long").groupBy("lang", "at").agg(F.sum("v").alias("v"))
+    rows = added.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("v")).select("lang", F.col("v.v").alias("v")).collect()
+    names = sorted(r["lang"] for r in rows)
+    of = {r["lang"]: np.array(r["v"], float) for r in rows}
+    out = np.array([of[n] for n in names]).reshape(len(names), dimensions)
+    return names, out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS, seed: int = 11) -> DataFrame:
     """The key, ``lang_pred`` and ``score``, the cosine with that language's prototype, cut to 0 to 1."""
     names, protos = model
-    protos = protos.astype(np.float32)
+
+    def one(code: np.ndarray) -> tuple[str, float]:
+        profile = _space(dimensions, seed).profile(code).astype(float)
+        cosine = (protos * profile).sum(axis=1) / max(float(np.sqrt((profile * profile).sum())), 1e-12)
+        best = int(cosine.argmax())
+        return names[best], float(min(max(cosine[best], 0.0), 1.0))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code, at, letters = trigrams(batch.column(1).to_pylist())
-        space = _space(dimensions, seed)
-        profiles = np.zeros((batch.num_rows, dimensions), np.float32)
-        for k in np.flatnonzero(letters):
-            profiles[k] = space.profile(code[at[k] : at[k + 1]])
-        if not names:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * batch.num_rows), pa.array(np.zeros(batch.num_rows))], [key, "lang_pred", "score"])
-        cosine = (profiles @ protos.T).astype(float) / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)
-        best = cosine.argmax(axis=1)
-        pred = [names[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-        score = np.where(letters, np.clip(cosine.max(axis=1), 0, 1), 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score)], [key, "lang_pred", "score"])
-
-    return map_arrow(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, lang_pred string, score double", text)
+        found = [one(code[at[k] : at[k + 1]]) if letters[k] and names else ("und", 0.0) for k in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [key, "lang_pred", "score"])
+
+    return map_arrow(df.select(f"`{key}`", f"`{text}`"), run, f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double", text)
 
 
 def held_out(key: Column | str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
