@@ -2,10 +2,11 @@
 
 Each class has a mean and a covariance that is shrunk towards the pooled one and towards its own diagonal. The
 score of a text is the logistic of the difference of the two Mahalanobis log-densities plus the log prior odds;
-the inverse Cholesky factors are computed once per model and travel with it.
+the inverse Cholesky factors are computed once per model and travel with it. The difference counts by a factor that grows
+with the number of words, so that a few words can outweigh the prior only if they are far off.
 
 Defined results: a null text counts as empty, and an empty text has the statistics of no words and gets a score
-like any other; equal texts get equal scores; without two labelled rows of each class every score is the share of
+like any other; equal texts get equal scores, whatever else is in their batch; without two labelled rows of each class every score is the share of
 label 1 (0.5 without labels). Null ids are never labelled; labels other than 0 and 1 are ignored; a repeated
 label counts each time it stands there. Whole texts are read, of any length.
 """
@@ -26,8 +27,8 @@ from folioscan.llm.common import distinct_per_text, map_arrow, per_text, pieces_
 #: Share of the pooled covariance and of the diagonal in each class covariance, and the ridge on it.
 POOLED, DIAGONAL, RIDGE = 0.2, 0.1, 1e-3
 THRESHOLD = 0.3
-#: Statistics of a few words are noise: the log-density difference counts up to this much for each word of the text.
-EVIDENCE = 0.25
+#: Shares of a few words are noise: the log-density difference of a text of w words counts by the factor min(1, w / SHRINK).
+SHRINK = 150.0
 STATISTICS = ("bytes", "words", "word_length", "upper", "digits", "exclaims", "bars", "symbols", "stops", "commas", "wide", "distinct_words", "echoes", "words_a_stop", "distinct_lines", "capitals", "line_words")
 
 _CLASS = np.zeros(256, np.uint8)
@@ -75,6 +76,14 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return map_arrow(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, x array<double>", text)
 
 
+def _rowwise(z: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """``z @ factor.T``, each row summed in the same order whatever the number of rows."""
+    out = np.zeros((len(z), len(factor)))
+    for k in range(z.shape[1]):
+        out += z[:, k : k + 1] * factor[:, k]
+    return out
+
+
 @dataclass
 class Model:
     """Two classes: centre, inverse Cholesky factor and log determinant of each, and log prior odds of label 1."""
@@ -90,10 +99,10 @@ class Model:
         d = np.full(len(x), self.odds)
         if self.factors:
             z = (x - self.shift) / self.scale
-            far = [np.square((z - c) @ f.T).sum(axis=1) + ld for c, f, ld in zip(self.centres, self.factors, self.logdets, strict=True)]
-            most = EVIDENCE * np.expm1(x[:, STATISTICS.index("words")])
-            d += np.clip((far[0] - far[1]) / 2, -most, most)
-        return 1 / (1 + np.exp(-np.clip(d, -700, 700)))
+            far = [np.square(_rowwise(z - c, f)).sum(axis=1) + ld for c, f, ld in zip(self.centres, self.factors, self.logdets, strict=True)]
+            n = np.expm1(x[:, STATISTICS.index("words")])
+            d += (far[0] - far[1]) / 2 * np.minimum(1, n / SHRINK)
+        return np.round(1 / (1 + np.exp(-np.clip(d, -700, 700))), 9)
 
 
 def _moments(labelled: DataFrame, label: str) -> dict[int, np.ndarray]:
