@@ -9,13 +9,16 @@ text alone, so a row is segmented alike whatever batch or executor it is in.
 A piece that is the r-th merge of the vocabulary weighs ``1 / (1 + r) ** theta``. A character without a piece, and a literal
 U+2581, is spelled in byte pieces. Decoding joins the pieces and gives back the text byte by byte.
 
-Defined results: a null text counts as empty and has no ids; rows with a null key use key 0; equal keys and texts get
+Defined results: a null text counts as empty and has no ids; rows with a null key use key 0, keys that are no whole numbers
+a hash of their text; equal keys and texts get
 equal ids; other columns are ignored; an empty table gives an empty result. Whole texts are read, and a unit of any length
 is sampled exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -27,7 +30,7 @@ from folioscan.llm.common import map_arrow, mix64, sums_of_ranges
 THETA = 1.0
 _SPACE, _LITERAL = 0x2581, 0x110000
 #: Characters of units whose lattices are held at a time.
-_HELD = 80_000
+_HELD = 40_000
 
 
 class Lattice:
@@ -182,6 +185,13 @@ class Lattice:
         return self.raw[at].tobytes()
 
 
+def key_numbers(keys: pa.Array) -> np.ndarray:
+    """Keys as numbers: whole numbers as they are, null as 0, anything else by a hash of its text."""
+    if pa.types.is_integer(keys.type):
+        return keys.cast(pa.int64()).fill_null(0).to_numpy()
+    return np.array([0 if k is None else int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little", signed=True) for k in keys.to_pylist()], np.int64)
+
+
 _LATTICES: dict[tuple[str, float], Lattice] = {}
 
 
@@ -196,12 +206,12 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
     """The key, the text and ``ids``: little-endian unsigned 32-bit numbers of a sampled segmentation."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy()
+        keys = key_numbers(batch.column(0))
         ids, at = lattice(model, theta).sample(batch.column(1).to_pylist(), keys)
         raw = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], [key, text, "ids"])
 
-    return map_arrow(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, {text} string, ids binary", text, 3 << 19)
+    return map_arrow(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, {text} string, ids binary", text, 1 << 19)
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str | None = None, theta: float = THETA) -> DataFrame:
@@ -214,4 +224,4 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str | No
         texts = [None if b is None else own.decode(np.frombuffer(b, "<u4").astype(np.int64)).decode() for b in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return map_arrow(df, run, schema, None)
+    return map_arrow(df, run, schema, ids, 1 << 20)
