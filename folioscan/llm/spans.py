@@ -7,7 +7,7 @@ that begins at each sentence, and the one that ends at each sentence. Beside the
 cut before each word whose hash is the least of some ``WINDOW`` words in a row; such cuts are ``WINDOW`` words apart at most and
 fall alike in equal words, but for ``WINDOW`` - 1 words at either end. A run of these pieces with at least ``PASSAGE`` words, as
 short as it can be, is a span too, so any passage of 51 words or more that occurs before loses all but at most 7 words at its
-start and 8 at its end, wherever it stands in a sentence or line. Spans are compared by the hash of their words, over all
+start and 8 at its end, wherever it stands in a sentence or line. Spans are compared by a 128-bit hash of their words, over all
 texts; of a span that occurs more than once, the occurrence in the smallest id, and there the first, stays, and the
 words that any other occurrence covers are removed.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import IdFilter, discard, map_arrow, mix64, range_hashes, save, sums_of_ranges, utf8, words
+from folioscan.llm.common import IdFilter, discard, fresh, map_arrow, mix64, range_hashes, save, sums_of_ranges, utf8, words
 
 SENTENCES, WORDS, LONG = 3, 20, 20
 WINDOW, PASSAGE = 8, 28
@@ -80,14 +80,16 @@ class Sentences:
         self.word_lo = starts
         self.word_lo[self.first[self.number == 0]] = offsets[:-1][self.text[self.number == 0]]
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words [first, last) of every span of sentences and of pieces, and its hash."""
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words [first, last) of every span of sentences and of pieces, and two 64-bit hashes of it."""
         if not len(self.first):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         pieces = np.union1d(content_cuts(self.hashes, self.word_text), self.first[self.number == 0])
         runs = _runs(self.first, self.last, self.text, SENTENCES, WORDS), _runs(pieces, np.append(pieces[1:], len(self.hashes)), self.word_text[pieces], 1, PASSAGE)
         a, z = (np.concatenate(x) for x in zip(*runs, strict=True))
-        return a, z, mix64(sums_of_ranges(self.hashes, a, z) + (z - a).astype(np.uint64))
+        size = (z - a).astype(np.uint64)
+        other = mix64(self.hashes ^ np.uint64(0x8EBC6AF09C88C6E3))
+        return a, z, mix64(sums_of_ranges(self.hashes, a, z) + size), mix64(sums_of_ranges(other, a, z) + size)
 
 
 def _runs(first: np.ndarray, last: np.ndarray, text: np.ndarray, parts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +105,16 @@ def _runs(first: np.ndarray, last: np.ndarray, text: np.ndarray, parts: int, siz
     return first[np.concatenate((forth, b[back]))], last[np.concatenate((e[forth], back))]
 
 
-def _own(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different spans (first, last, hash) and whether the same text has had each before."""
-    lo, hi, h = s.spans()
-    order = np.lexsort((lo, h, s.word_text[lo]))
-    lo, hi, h = lo[order], hi[order], h[order]
+def _own(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different spans (first, last, hashes) and whether the same text has had each before."""
+    lo, hi, h, g = s.spans()
+    order = np.lexsort((lo, g, h, s.word_text[lo]))
+    lo, hi, h, g = lo[order], hi[order], h[order], g[order]
     again = np.zeros(len(lo), bool)
-    again[1:] = (h[1:] == h[:-1]) & (s.word_text[lo][1:] == s.word_text[lo][:-1])
+    again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (s.word_text[lo][1:] == s.word_text[lo][:-1])
     new = np.ones(len(lo), bool)
     new[1:] = ~again[1:] | (lo[1:] != lo[:-1])
-    return lo[new], hi[new], h[new], again[new]
+    return lo[new], hi[new], h[new], g[new], again[new]
 
 
 def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
@@ -120,29 +122,31 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
 
     Second, the written tables that it reads.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null")
+    name = "id_" if text.lower() == "id" else "id"
+    rows = df.select(F.col(f"`{key}`").cast("long").alias(name), F.col(f"`{text}`").alias(text)).where(f"{name} is not null")
 
     def every(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = Sentences(batch.column(1))
-        lo, _, h, again = _own(s)
+        lo, _, h, g, again = _own(s)
         keep = ~again
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(batch.column(0).to_numpy()[s.word_text[lo[keep]]])], ["h", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep].view(np.int64)), pa.array(batch.column(0).to_numpy()[s.word_text[lo[keep]]])], ["h", "g", "id"])
 
-    shared = map_arrow(rows, every, "h long, id long", text).groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("h", "least")
+    shared = map_arrow(rows, every, "h long, g long, id long", text).groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("h", "g", "least")
     shared = save(shared, "shared")
     seen = IdFilter(shared.select("h"))
 
     def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = Sentences(batch.column(1))
-        lo, hi, h, again = _own(s)
+        lo, hi, h, g, again = _own(s)
         pick = again | seen.has(h.view(np.int64))
-        lo, hi, h, again = lo[pick], hi[pick], h[pick], again[pick]
+        lo, hi, h, g, again = lo[pick], hi[pick], h[pick], g[pick], again[pick]
         of = s.word_text[lo]
         number = lambda x: pa.array((x - s.word_at[of]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(batch.column(0).to_numpy()[of]), number(lo), number(hi), pa.array(again)], ["h", "id", "first", "last", "again"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(batch.column(0).to_numpy()[of]), number(lo), number(hi), pa.array(again)], ["h", "g", "id", "first", "last", "again"])
 
-    found = save(map_arrow(rows, wanted, "h long, id long, first int, last int, again boolean", text), "found")
-    later = found.where("not again").join(shared, "h").where("id != least")
+    found = save(map_arrow(rows, wanted, "h long, g long, id long, first int, last int, again boolean", text), "found")
+    seen.destroy()
+    later = found.where("not again").join(shared, ["h", "g"]).where("id != least")
     return later.select("id", "first", "last").union(found.where("again").select("id", "first", "last")), [shared, found]
 
 
@@ -156,7 +160,7 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     ``removed`` names a sentence that is gone by its number, and one that lost a part as number:first-last (words [first, last) of it).
     """
-    return _applied(df.select(key, text), key, text, report=True)
+    return _applied(df.select(f"`{key}`", f"`{text}`"), key, text, report=True)
 
 
 def _stretches(mask: np.ndarray) -> np.ndarray:
@@ -213,5 +217,6 @@ def _applied(df: DataFrame, key: str, text: str, report: bool) -> DataFrame:
 
     still = map_arrow(df, chosen(False), out, text)
     touched = map_arrow(df, chosen(True), kinds, text)
-    joined = touched.join(gone.select(F.col("id").alias("__id"), F.col("cuts").alias("__cuts")), touched[key].cast("long") == F.col("__id"), "left").drop("__id")
+    its, its_cuts = fresh(names, "id", "cuts")
+    joined = touched.join(gone.select(F.col("id").alias(its), F.col("cuts").alias(its_cuts)), F.col(f"`{key}`").cast("long") == F.col(its), "left").select(*(f"`{c}`" for c in names), its_cuts)
     return still.union(map_arrow(joined, lambda b: cut(b, b.column(len(names)).to_pylist()), out, text))
