@@ -128,9 +128,9 @@ def write(df: DataFrame, known: DataFrame, text: str = "text") -> tuple[DataFram
                         chunks = [stored[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                         away = seen.has(_numbers(names)).tolist()
                         rows.append((medium, len(stored), names, ends, away, b"".join(c for c, x in zip(chunks, away, strict=True) if not x), task))
-                        for chunk, name in {n: c for c, n, x in zip(chunks, names, away, strict=True) if x and n not in met}.items():
-                            met.add(chunk)
-                            rows.append((medium, len(name), [chunk], None, None, name, task))
+                        for digest, body in {n: c for c, n, x in zip(chunks, names, away, strict=True) if x and n not in met}.items():
+                            met.add(digest)
+                            rows.append((medium, len(body), [digest], None, None, body, task))
                 if rows:
                     kinds = (pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["medium", "size", "digests", "ends", "away", "bytes", "task"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import map_arrow, range_hashes, utf8, words
+from folioscan.llm.common import fresh, map_arrow, range_hashes, utf8, words
 
 CAPACITY, STEP, END = 2048, 16, 1
 #: Rows that one task ranks, and words whose ids a worker remembers.
@@ -220,14 +220,15 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndar
 
 
 def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
-    """``rows`` with ``sequence_id`` and ``offset``; ``length`` is from 1 to ``capacity``, ``order`` ranks equal lengths.
+    """``rows`` with ``sequence_id`` and ``offset`` (with an underscore where a name is taken); ``length`` is from 1 to ``capacity``, ``order`` ranks equal lengths.
 
     Ranks are counted in two steps, within hash buckets and over the buckets' counts, so that no class of lengths
     is sorted in one task. The histogram that the driver sees has ``capacity / step`` rows at most.
     """
     spark = rows.sparkSession
-    classed = rows.withColumn("__class", F.ceil(F.col(length) / step).cast("int"))
-    histogram = sorted((r[0], r[1]) for r in classed.groupBy("__class").count().collect())
+    kclass, kbucket, kbefore, krank, kslot, kcount, kseq, koffset = fresh(rows.columns, "class", "bucket", "before", "rank", "slot", "count", "sequence_id", "offset")
+    classed = rows.withColumn(kclass, F.ceil(F.col(length) / step).cast("int"))
+    histogram = sorted((r[0], r[1]) for r in classed.groupBy(kclass).agg(F.count("*")).collect())
     sizes, demand = np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64)
     slots: dict[int, list[tuple[int, int, int]]] = {int(c): [] for c in sizes}
     base = 0
@@ -238,9 +239,9 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: in
     tables = {c: tuple(np.array(x, np.int64) for x in zip(*s, strict=True)) for c, s in slots.items()}
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(demand.sum()) // RANKED_ROWS))
-    dealt = classed.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = dealt.groupBy("__class", "__bucket").count().withColumn("__before", F.sum("count").over(Window.partitionBy("__class").orderBy("__bucket")) - F.col("count")).drop("count")
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy(*order)) - 1).join(before, ["__class", "__bucket"])
+    dealt = classed.withColumn(kbucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    before = dealt.groupBy(kclass, kbucket).agg(F.count("*").alias(kcount)).withColumn(kbefore, F.sum(kcount).over(Window.partitionBy(kclass).orderBy(kbucket)) - F.col(kcount)).drop(kcount)
+    ranked = dealt.withColumn(krank, F.row_number().over(Window.partitionBy(kclass, kbucket).orderBy(*order)) - 1).join(before, [kclass, kbucket])
     names = rows.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,9 +256,9 @@ def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: in
             within = rank[pick] - (ends[k] - each[k] * times[k])
             seq[pick] = first[k] + within // each[k]
             slot[pick] = (capacity - int(one)) * capacity + within % each[k]
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(seq), pa.array(slot)], [*names, "sequence_id", "__slot"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(seq), pa.array(slot)], [*names, kseq, kslot])
 
-    fields = rows.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("__slot")).schema
-    placed = map_arrow(ranked.select(*names, "__class", (F.col("__rank") + F.col("__before")).cast("long").alias("__rank")), run, fields, None)
-    ahead = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum(length).over(ahead), F.lit(0)).cast("long")).drop("__slot")
+    fields = rows.select(*names, F.lit(0).cast("long").alias(kseq), F.lit(0).cast("long").alias(kslot)).schema
+    placed = map_arrow(ranked.select(*names, kclass, (F.col(krank) + F.col(kbefore)).cast("long").alias(krank)), run, fields, None)
+    ahead = Window.partitionBy(kseq).orderBy(kslot).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn(koffset, F.coalesce(F.sum(length).over(ahead), F.lit(0)).cast("long")).drop(kslot)

@@ -9,8 +9,8 @@ and captures get their verdict by (host, day).
 Only DataFrame operations are used. Defined results: a null or unparsable URL has an empty host, no entry and the
 verdict ``pass``; so has a null day; events with a null key, day or op are ignored; of several events of a key on a day the
 one that sorts last by (op, action) counts: ``remove`` beats ``add``; repeated captures each get a row; an empty list
-passes everything; an empty table gives an empty result. Columns of the captures may have any names: all but
-the host and day are left alone.
+passes everything; an empty table gives an empty result. Columns of the captures may have any names and all stay as
+they are; a result column whose name is taken gets an underscore at its end.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import fresh
+
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -44,8 +46,8 @@ def _month(day: Column) -> Column:
 
 
 def rate(captures: DataFrame, events: DataFrame, host: str = "host", day: str = "day") -> DataFrame:
-    """``captures`` with n_active, matched (the deciding key) and verdict (``block``, ``allow`` or ``pass``)."""
-    seen = captures.select(F.col(host).alias("h"), F.col(day).alias("d")).where("h is not null and d is not null").distinct()
+    """``captures`` with n_active, matched (the deciding key) and verdict (``block``, ``allow`` or ``pass``), all columns kept."""
+    seen = captures.select(F.col(f"`{host}`").alias("h"), F.col(f"`{day}`").alias("d")).where("h is not null and d is not null").distinct()
     first, last = (F.lit(x).cast("date") for x in seen.agg(F.min("d"), F.max("d")).first())  # null without captures: then no interval is kept
     spans = intervals(events).where((F.col("since") <= last) & (F.col("until").isNull() | (F.col("until") > first)))
     months = F.sequence(_month(F.greatest("since", first)), _month(F.least(F.coalesce("until", last), last)))
@@ -53,10 +55,11 @@ def rate(captures: DataFrame, events: DataFrame, host: str = "host", day: str =
     asked = seen.select("h", "d", F.explode(keys_of(F.col("h"))).alias("key"), _month(F.col("d")).alias("m"))
     active = asked.join(spans, ["key", "m"]).where("since <= d and (until is null or d < until)")
     verdicts = active.groupBy("h", "d").agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("best"))
-    verdicts = verdicts.select(F.col("h").alias("__h"), F.col("d").alias("__d"), "n_active", F.col("best.key").alias("matched"), F.col("best.action").alias("verdict"))
-    own = [c for c in captures.columns if c not in ("n_active", "matched", "verdict")]
-    joined = captures.select(*own).join(verdicts, (F.col(host) == F.col("__h")) & (F.col(day) == F.col("__d")), "left")
-    return joined.select(*own, F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "matched", F.coalesce("verdict", F.lit("pass")).alias("verdict"))
+    h, d, n, matched, verdict = fresh(captures.columns, "h", "d", "n_active", "matched", "verdict")
+    verdicts = verdicts.select(F.col("h").alias(h), F.col("d").alias(d), F.col("n_active").alias(n), F.col("best.key").alias(matched), F.col("best.action").alias(verdict))
+    own = [f"`{c}`" for c in captures.columns]
+    joined = captures.join(verdicts, (F.col(f"`{host}`") == F.col(h)) & (F.col(f"`{day}`") == F.col(d)), "left")
+    return joined.select(*own, F.coalesce(n, F.lit(0)).cast("long").alias(n), matched, F.coalesce(verdict, F.lit("pass")).alias(verdict))
 
 
 def sample_events(hosts: DataFrame, start: str = "2024-01-01") -> DataFrame:
