@@ -30,6 +30,7 @@ null if no linked row has a key), and rows of one key but different texts are se
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -88,15 +89,26 @@ def most_apart(a: int, b: int, percent: int) -> int:
     return ((100 - percent) * (a + b)) // (100 + percent)
 
 
+def _buckets(n: int, differ: int) -> int:
+    """The fewest buckets of which ``n`` hashes fill more than ``differ``, with three deviations to spare."""
+    m = differ + 2
+    while True:
+        empty = math.exp(-n / m)
+        filled, deviation = m * (1 - empty), math.sqrt(m * empty * max(0.0, 1 - (1 + n / m) * empty))
+        if filled - 3 * deviation > differ + 0.5 or m > 4 * n + 64:
+            return m
+        m += max(1, m // 50)
+
+
 @cache
 def bands(percent: int) -> list[tuple[int, int, int, int]]:
     """(first size, last size, last size that also joins from above, buckets), ever larger. Sizes 1 … 2**40."""
     out, lo = [], 1
     while lo < 1 << 40:
-        hi = max(lo, int(lo * 1.5))
+        hi = max(lo, int(lo * 1.25))
         reach = hi * 100 // percent
         d = most_apart(hi, reach, percent)
-        out.append((lo, hi, reach, 0 if d == 0 else d + 1 + max(4, d // 20)))
+        out.append((lo, hi, reach, 0 if d == 0 else _buckets(lo, d) if lo < 1 << 24 else d + max(4, d // 8)))
         lo = hi + 1
     return out
 
@@ -477,7 +489,12 @@ def _joined(df: DataFrame, key: str, text: str, k: int, percent: int, least: Cal
     rows = seen.agg(F.sum(F.size("routes"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROUTES_A_PARTITION))
     stars = _hubs(seen.where("routes is not null").select(F.explode("routes").alias("route"), "uid"), partitions)
-    stars = save(stars.join(heads.select(F.col("first").alias("uid"), "rep", F.col("n").alias("w")), "uid").where("rep != hub").select("hub", "rep", "w").distinct(), "stars")
+    stars = save(stars, "stars")
+    slim = save(seen.drop("routes"), "slim")
+    discard(seen)
+    met, seen = stars, slim
+    stars = save(stars.join(heads.select(F.col("first").alias("uid"), "rep", F.col("n").alias("w")), "uid").where("rep != hub").select("hub", "rep", "w").distinct(), "groups")
+    discard(met)
     size = stars.groupBy("hub").agg(F.count("*").alias("m"), F.sum("w").alias("all"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_TOKENS)).cast("long")
     big = save(size.select("hub", blocks.alias("blocks")).where("blocks > 1"), "big")
@@ -489,16 +506,19 @@ def _joined(df: DataFrame, key: str, text: str, k: int, percent: int, least: Cal
     wanted = save(heads.where("first = rep").join(needed, "rep").select("rep", "n", "f", "g", "x"), "wanted")
     sets = save(_sets(df, wanted, key, text, k), "sets")
     links = save(_trees(dealt, sets, percent, False).select("a", "b"), "links")
-    comp = save(components(links), "components")
+    comp = comp_table = save(components(links), "components")
     if not big.isEmpty():
         more = _large(stars.join(big.select("hub"), "hub").select("hub", "rep", "w").union(big.select("hub", F.col("hub").alias("rep"), F.lit(1).cast("long"))), sets, comp, percent)
         if more is not None and not more.isEmpty():
-            comp = save(components(links.union(more)), "components")
+            comp = comp_table = save(components(links.union(more)), "components")
+            discard(more)
     joined = comp.join(heads.where("first = rep").select(F.col("rep").alias("id"), "least"), "id")
     named = joined.join(joined.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("id").alias("rep"), "c")
     heads_c = heads.join(named, "rep", "left").select("first", F.coalesce("c", "least").alias("c"))
     discard(stars, big, wanted, sets, links)
-    return seen.select("id", "t", "uid", "n", "first").join(heads_c, "first", "left").select("id", "t", "uid", "n", "c")
+    out = seen.select("id", "t", "uid", "n", "first").join(heads_c, "first", "left").select("id", "t", "uid", "n", "c")
+    out.folioscan_read = [seen, heads, comp_table]
+    return out
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -513,11 +533,13 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     Rows without words all stay. Only the rows that may go are moved; a row is known by its key and text, and of rows
     that are equal in both the first that is met stays.
     """
-    found = _joined(df, key, text, k, percent, lambda: F.struct(F.col("id").isNull().alias("none"), "id", "t", "uid")).where("n > 0")
+    every = _joined(df, key, text, k, percent, lambda: F.struct(F.col("id").isNull().alias("none"), "id", "t", "uid"))
+    found = every.where("n > 0")
     best = F.col("id").eqNullSafe(F.col("c.id")) & (F.col("t") == F.col("c.t"))
     rest = found.where(F.col("uid") != F.col("c.uid")).select("id", "t", best.alias("best")).distinct()
     kt, kx, kid, kk, kb = fresh(df.columns, "t", "x", "id", "k", "best")
     rest = save(rest.select(F.col("id").alias(kid), F.col("t").alias(kk), F.col("best").alias(kb)), "rest")
+    discard(*every.folioscan_read)
     seen = IdFilter(rest.select(F.xxhash64(kid, kk)))
     marked = df.withColumn(kt, F.xxhash64(F.col(f"`{text}`"))).withColumn(kx, F.xxhash64(F.col(f"`{key}`"), F.col(kt)))
     where = len(df.columns) + 1
