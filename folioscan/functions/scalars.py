@@ -49,7 +49,7 @@ def canonical_isbn(c: Column | str) -> Column:
 
 def normalize_orcid(c: Column | str) -> Column:
     """The last part of a path; null unless it has the shape of an ORCID."""
-    last = F.trim(F.element_at(F.split(F.rtrim(F.trim(_col(c))), "/"), -1))
+    last = F.trim(F.element_at(F.split(F.regexp_replace(F.trim(_col(c)), "/+$", ""), "/"), -1))
     return F.when(last.rlike("^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$"), last)
 
 

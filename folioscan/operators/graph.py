@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import save
+from folioscan.sources.store import save
 
 # Macros and words that refer, decorations and words that define.
 EQUATION_MACROS = ("eqref",)

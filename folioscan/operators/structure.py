@@ -1,14 +1,16 @@
 """From positioned text segments to lines, blocks and typed nodes.
 
 Line grouping compares with the line so far, and the mode of a document (body, abstract, bibliography) feeds back into
-what a block is: both are folds, run per document with its rows together.
+what a block is: both are folds. Rows are dealt by document and sorted, and pass through Python in Arrow batches; what is
+held is one page, and of a document only its mode.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +20,23 @@ from folioscan.functions import scalars as S
 LINE_OVERLAP, SPACE_GAP, PARAGRAPH_GAP, HEADING_SIZE, MARGIN = 0.4, 0.2, 1.6, 1.15, 0.1
 
 
-def _page_lines(segments: pd.DataFrame) -> list[dict]:
-    """Consecutive segments are one line while they overlap its hull enough in height."""
+def _page_lines(segments: list[tuple]) -> list[dict]:
+    """Consecutive segments (x, y, w, h, text) are one line while they overlap its hull enough in height."""
     out: list[dict] = []
-    for s in segments.sort_values("reading_order").itertuples():
-        if not s.text.strip():
+    for x, y, w, h, text in segments:
+        if not text.strip():
             continue
         line = out[-1] if out else None
         if line is not None:
-            shared = min(line["y"] + line["h"], s.y + s.h) - max(line["y"], s.y)
-            if shared >= LINE_OVERLAP * min(line["h"], s.h):
-                gap = s.x - (line["x"] + line["w"])
-                line["text"] += (" " if gap > SPACE_GAP * s.h and not line["text"].endswith(" ") else "") + s.text
-                x, y = min(line["x"], s.x), min(line["y"], s.y)
-                line["w"], line["h"] = max(line["x"] + line["w"], s.x + s.w) - x, max(line["y"] + line["h"], s.y + s.h) - y
-                line["x"], line["y"] = x, y
+            shared = min(line["y"] + line["h"], y + h) - max(line["y"], y)
+            if shared >= LINE_OVERLAP * min(line["h"], h):
+                gap = x - (line["x"] + line["w"])
+                line["text"] += (" " if gap > SPACE_GAP * h and not line["text"].endswith(" ") else "") + text
+                left, low = min(line["x"], x), min(line["y"], y)
+                line["w"], line["h"] = max(line["x"] + line["w"], x + w) - left, max(line["y"] + line["h"], y + h) - low
+                line["x"], line["y"] = left, low
                 continue
-        out.append({"x": s.x, "y": s.y, "w": s.w, "h": s.h, "text": s.text})
+        out.append({"x": x, "y": y, "w": w, "h": h, "text": text})
     return out
 
 
@@ -53,24 +55,61 @@ def _page_blocks(lines: list[dict]) -> list[list[dict]]:
 _BLOCKS = "document long, page int, ordinal int, text string, first string, lines int, words int, height double, page_height double, x double, y double, w double, h double, in_margin boolean"
 
 
+def _page_rows(document: int, page: int, first: int, segments: list[tuple], top: float) -> list[tuple]:
+    lines = _page_lines(segments)
+    usual, out = median([x["h"] for x in lines] or [0]), []
+    for ls in _page_blocks(lines):
+        x, y = min(l["x"] for l in ls), min(l["y"] for l in ls)
+        w, h = max(l["x"] + l["w"] for l in ls) - x, max(l["y"] + l["h"] for l in ls) - y
+        text = " ".join(l["text"].strip() for l in ls)
+        words = len(text.split())
+        margin = len(ls) == 1 and words <= 8 and not MARGIN * top <= y + h / 2 <= (1 - MARGIN) * top
+        out.append((document, page, first + len(out), text, ls[0]["text"].strip(), len(ls), words, float(median(l["h"] for l in ls)), float(usual), x, y, w, h, margin))
+    return out
+
+
+def _types(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+
+def _batches(rows: Iterator[tuple], schema: str, most: int = 4000) -> Iterator[pa.RecordBatch]:
+    types, held = _types(schema), []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.types, strict=True)], schema=types)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.types, strict=True)], schema=types)
+
+
+def _sorted(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("document").sortWithinPartitions("document", *order)
+
+
 def blocks(segments: DataFrame) -> DataFrame:
-    """Blocks of (document, page, reading_order, x, y, w, h, text, page_h) segments; y grows upwards."""
+    """Blocks of (document, page, reading_order, x, y, w, h, text, page_h) segments, in order; y grows upwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            at, held, top, number = None, [], 0.0, 0
+            for b in batches:
+                for document, page, x, y, w, h, text, page_h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (document, page) != at:
+                        if at is not None:
+                            done = _page_rows(*at, number, held, top)
+                            number = number + len(done) if at[0] == document else 0
+                            yield from done
+                        at, held, top = (document, page), [], float(page_h)
+                    held.append((x, y, w, h, text))
+            if at is not None:
+                yield from _page_rows(*at, number, held, top)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for page, part in rows.groupby("page", sort=True):
-            lines = _page_lines(part)
-            usual = median([x["h"] for x in lines] or [0])
-            top = float(part["page_h"].iloc[0])
-            for ls in _page_blocks(lines):
-                x, y = min(l["x"] for l in ls), min(l["y"] for l in ls)
-                w, h = max(l["x"] + l["w"] for l in ls) - x, max(l["y"] + l["h"] for l in ls) - y
-                text = " ".join(l["text"].strip() for l in ls)
-                margin = len(ls) == 1 and len(text.split()) <= 8 and not MARGIN * top <= y + h / 2 <= (1 - MARGIN) * top
-                out.append((rows["document"].iloc[0], page, len(out), text, ls[0]["text"].strip(), len(ls), len(text.split()), median(l["h"] for l in ls), usual, x, y, w, h, margin))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCKS.split(", ")])
+        return _batches(rows(), _BLOCKS)
 
-    return segments.groupBy("document").applyInPandas(run, _BLOCKS)
+    wanted = _sorted(segments, "page", "reading_order").select("document", "page", "x", "y", "w", "h", F.coalesce("text", F.lit("")).alias("text"), "page_h")
+    return wanted.mapInArrow(run, _BLOCKS)
 
 
 def detect(rows: DataFrame) -> DataFrame:
@@ -82,38 +121,50 @@ def detect(rows: DataFrame) -> DataFrame:
 _NODES = "document long, page int, ordinal int, kind string, confidence double, level int, number string, text string"
 
 
+def _kind(b: dict, mode: str) -> tuple[str, float, int | None, str | None, str]:
+    """Kind, confidence, level, number and the mode from here on."""
+    if b["caption"]:
+        return b["caption"], 0.75, None, b["caption_number"], mode
+    if b["theorem"]:
+        return b["theorem"], 0.7 if b["theorem_number"] else 0.6, None, b["theorem_number"], mode
+    if b["math"] is not None:
+        return "display_math", b["math"], None, b["equation_label"], mode
+    if mode != "bibliography" and b["section"] and b["words"] <= 14 and b["lines"] <= 2:
+        return ("subsection" if b["level"] >= 2 else "section"), 0.75, b["level"], b["section"], "body"
+    if b["keyword"] and b["words"] <= 6 and b["lines"] <= 2:
+        opened = "abstract" if b["keyword"] == "abstract" else "bibliography" if b["keyword"] in ("references", "bibliography") else "body"
+        return "heading", 0.7, 1, None, opened
+    if mode != "bibliography" and b["lines"] == 1 and b["words"] <= 8 and b["alpha"] >= 0.6 and b["page_height"] > 0 and b["height"] > HEADING_SIZE * b["page_height"]:
+        return "heading", 0.55, None, None, mode
+    if b["in_margin"]:
+        return "unknown", 0.3, None, None, mode
+    return *{"abstract": ("abstract", 0.7), "bibliography": ("bibliography_entry", 0.5)}.get(mode, ("paragraph", 0.6)), None, None, mode
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Typed nodes of blocks that come in order, each document's together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            document, mode = None, "body"
+            for batch in batches:
+                for b in batch.to_pylist():
+                    if b["document"] != document:
+                        document, mode = b["document"], "body"
+                    kind, confidence, level, number, mode = _kind(b, mode)
+                    yield document, b["page"], b["ordinal"], kind, confidence, level, number, b["text"]
+
+        return _batches(rows(), _NODES)
+
+    wanted = ["document", "page", "ordinal", "text", "lines", "words", "height", "page_height", "in_margin", "caption", "caption_number", "theorem", "theorem_number", "math", "equation_label", "section", "level", "keyword", "alpha"]
+    return rows.select(*wanted).mapInArrow(run, _NODES)
+
+
 def classify(rows: DataFrame) -> DataFrame:
     """Typed nodes: caption, theorem, display math, heading, then what the document's mode says."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mode, out = "body", []
-        for b in part.sort_values("ordinal").itertuples():
-            level = number = None
-            math = None if pd.isna(b.math) else b.math
-            if isinstance(b.caption, str):
-                kind, confidence, number = b.caption, 0.75, b.caption_number
-            elif isinstance(b.theorem, str):
-                numbered = isinstance(b.theorem_number, str)
-                kind, confidence, number = b.theorem, 0.7 if numbered else 0.6, b.theorem_number if numbered else None
-            elif math is not None:
-                kind, confidence, number = "display_math", math, b.equation_label if isinstance(b.equation_label, str) else None
-            elif mode != "bibliography" and isinstance(b.section, str) and b.words <= 14 and b.lines <= 2:
-                level, number, confidence = int(b.level), b.section, 0.75
-                kind, mode = ("subsection" if level >= 2 else "section"), "body"
-            elif isinstance(b.keyword, str) and b.words <= 6 and b.lines <= 2:
-                kind, confidence, level = "heading", 0.7, 1
-                mode = "abstract" if b.keyword == "abstract" else "bibliography" if b.keyword in ("references", "bibliography") else "body"
-            elif mode != "bibliography" and b.lines == 1 and b.words <= 8 and b.alpha >= 0.6 and b.page_height > 0 and b.height > HEADING_SIZE * b.page_height:
-                kind, confidence = "heading", 0.55
-            elif b.in_margin:
-                kind, confidence = "unknown", 0.3
-            else:
-                kind, confidence = {"abstract": ("abstract", 0.7), "bibliography": ("bibliography_entry", 0.5)}.get(mode, ("paragraph", 0.6))
-            out.append((b.document, b.page, b.ordinal, kind, confidence, level, number, b.text))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _NODES.split(", ")]).astype({"level": "Int32"})
-
-    return rows.groupBy("document").applyInPandas(run, _NODES)
+    return _typed(_sorted(rows, "ordinal"))
 
 
 def nodes(segments: DataFrame) -> DataFrame:
-    return classify(detect(blocks(segments)))
+    """Typed nodes of segments; blocks leave in order, so nothing is dealt a second time."""
+    return _typed(detect(blocks(segments)))

@@ -139,10 +139,10 @@ def text_match_all_tokens(spark, d):
     return load(spark, d, "documents").where(T.matches(["text"], ["the", "tion", "HAND"])).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'é') AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '100%')")
+@query("SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'é') AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ou.')")
 def text_match_short_token(spark, d):
     """A short token: plain substrings, ASCII folding, wildcards taken literally."""
-    return load(spark, d, "documents").where(T.matches(["text"], ["é", "100%"])).select("doc_id")
+    return load(spark, d, "documents").where(T.matches(["text"], ["é", "OU."])).select("doc_id")
 
 
 def _bm25_sql(tokens: list[str], table: str, key: str, column: str, scope: str = "") -> str:
@@ -208,10 +208,12 @@ def author_search(spark, d):
     return load(spark, d, "customer").where(F.contains(F.lower("c_name"), F.lit("0001"))).orderBy(F.lower("c_name"), "c_custkey").limit(10).select("c_custkey", "c_name")
 
 
-@query(f"SELECT attachment_id, page, string_agg(content, ' ') AS body FROM {LINES_SQL} GROUP BY attachment_id, page")
+@query(f"SELECT attachment_id, (page - 1) // 5 + 1 AS page, string_agg(content, ' ' ORDER BY page) AS body FROM {LINES_SQL} GROUP BY 1, 2")
 def index_build(spark, d):
-    """The page index: one row a page, blank pages left out."""
-    return page_lines(spark, d).groupBy("attachment_id", "page").agg(F.listagg("content", F.lit(" ")).alias("body"))
+    """The page index: one row a page of five lines, in their order, blank lines left out."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col("page").alias("line"), "content")))
+    pages = page_lines(spark, d).groupBy("attachment_id", (F.floor((F.col("page") - 1) / 5) + 1).alias("at")).agg(lines.alias("lines"))
+    return pages.select("attachment_id", F.col("at").alias("page"), F.array_join(F.transform("lines", lambda x: x["content"]), " ").alias("body"))
 
 
 # ---- joins
@@ -232,10 +234,11 @@ def semi_join(spark, d):
     return load(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def anti_join(spark, d):
     """NOT EXISTS."""
-    return load(spark, d, "customer").join(load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    big = load(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return load(spark, d, "customer").join(big, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT a, b FROM (SELECT DISTINCT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey AND (x.s_nationkey = y.s_nationkey OR floor(x.s_acctbal / 500) = floor(y.s_acctbal / 500)))")
@@ -482,11 +485,11 @@ def version_lifecycle(spark, d):
     return load(spark, d, "events").select("event_id", "user_id", F.lag("event_id").over(w.orderBy("event_id")).alias("parent"), status.alias("status"))
 
 
-@query("SELECT e.event_id FROM events e WHERE e.event_type <> 'purchase' AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_id > e.event_id) AND NOT EXISTS (SELECT 1 FROM events y WHERE y.user_id = e.user_id AND y.event_type = 'purchase')")
+@query("SELECT e.event_id FROM events e WHERE e.event_type <> 'purchase' AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_id > e.event_id) AND NOT EXISTS (SELECT 1 FROM events y WHERE y.user_id = e.user_id AND y.event_type = 'purchase' AND y.event_id % 30 = 0)")
 def gc_targets(spark, d):
     """Superseded versions of keys that nothing protects."""
     e = load(spark, d, "events")
-    last = e.groupBy("user_id").agg(F.max("event_id").alias("last"), F.count_if(F.col("event_type") == "purchase").alias("kept"))
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("last"), F.count_if((F.col("event_type") == "purchase") & (F.col("event_id") % 30 == 0)).alias("kept"))
     return e.join(last, "user_id").where("event_id < last and kept = 0 and event_type <> 'purchase'").select("event_id")
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from folioscan.plans import core, documents, library  # noqa: F401
+from folioscan.plans import core, documents, library, upkeep  # noqa: F401
 from folioscan.sources.tables import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
