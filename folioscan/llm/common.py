@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,40 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session without the setting gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="folioscan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def save(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: what follows reads files that outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioscan-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path, compression=compression)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.folioscan_path = path
-    return out
-
-
-def discard(*saved: DataFrame) -> None:
-    """Delete tables that ``save`` wrote and that nothing reads any more."""
-    for df in saved:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(df.folioscan_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+from folioscan.sources.store import discard, save, shared_dir  # noqa: F401
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:

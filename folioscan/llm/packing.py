@@ -163,6 +163,20 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), count
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. The library's threaded routine was seen to hang in a driver process."""
+    n = len(a)
+    both = np.concatenate((a.astype(float), np.eye(n)), axis=1)
+    for k in range(n):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used in the linear program's solution.
 
@@ -192,7 +206,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
         step[out] = 0
         inverse -= np.outer(step, inverse[out])
         if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
             x = inverse @ demand
     return basis.T.round().astype(np.int64), np.maximum(x, 0)
 

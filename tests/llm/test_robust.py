@@ -60,6 +60,11 @@ def test_texts_of_megabytes(spark):
     assert {x.doc_id: x.lang_pred for x in language.identify(df, model).collect()}[2] == "und"
 
 
+def test_inverse_by_elimination():
+    a = np.random.default_rng(3).integers(0, 9, (130, 130)) + 20.0 * np.eye(130)
+    assert np.allclose(packing._inverse(a) @ a, np.eye(130), atol=1e-8)
+
+
 def test_hashes_do_not_depend_on_the_stride(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(0, 256, 5000).astype(np.uint8)
