@@ -81,7 +81,7 @@ def test_regions_merge_by_hull():
 
 def test_lines_and_blocks():
     seg = pd.DataFrame([(0, 10.0, 700.0, 30.0, 10.0, "Hello"), (1, 45.0, 701.0, 30.0, 10.0, "world"), (2, 10.0, 686.0, 60.0, 10.0, "next"), (3, 10.0, 672.0, 60.0, 10.0, "third"), (4, 10.0, 620.0, 60.0, 10.0, "far")], columns=["reading_order", "x", "y", "w", "h", "text"])
-    lines = structure._page_lines(seg)
+    lines = structure._page_lines(list(seg[["x", "y", "w", "h", "text"]].itertuples(index=False, name=None)))
     assert [x["text"] for x in lines] == ["Hello world", "next", "third", "far"]
     assert [len(b) for b in structure._page_blocks(lines)] == [3, 1]
 
