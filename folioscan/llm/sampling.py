@@ -30,7 +30,7 @@ from folioscan.llm.common import map_arrow, mix64, sums_of_ranges
 THETA = 1.0
 _SPACE, _LITERAL = 0x2581, 0x110000
 #: Characters of units whose lattices are held at a time.
-_HELD = 40_000
+_HELD = 60_000
 
 
 class Lattice:
@@ -211,7 +211,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
         raw = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], [key, text, "ids"])
 
-    return map_arrow(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, {text} string, ids binary", text, 1 << 19)
+    return map_arrow(df.select(key, text), run, f"{key} {df.schema[key].dataType.simpleString()}, {text} string, ids binary", text, 1 << 20)
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str | None = None, theta: float = THETA) -> DataFrame:
