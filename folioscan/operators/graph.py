@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.sources.store import save
+from folioscan.sources.store import discard, save
 
 # Macros and words that refer, decorations and words that define.
 EQUATION_MACROS = ("eqref",)
@@ -197,14 +197,48 @@ def _backing(f: DataFrame, origins: DataFrame, nodes: DataFrame, related: DataFr
     formulas = related.where("list = 'equations'").withColumn("n", F.row_number().over(w)).where(F.col("n") <= RELATED).select("version", "focus", F.col("other").alias("node"))
     seen = origins.union(formulas).distinct().join(occurrences(symbols, nodes).select("version", "node", "surface"), ["version", "node"]).select("version", "focus", "surface", F.lit(2).alias("occurs")).distinct()
     said = origins.join(nodes.select("version", "node", "text"), ["version", "node"]).groupBy("version", "focus").agg(F.array_join(F.collect_list("text"), "\n").alias("said"))
-    hits = f.select("version", "focus", "at").join(symbols, "version").where("ordinal < at").join(seen, ["version", "focus", "surface"], "left").join(said, ["version", "focus"], "left")
-    hits = hits.withColumn("how", F.coalesce("occurs", F.when(F.contains("said", F.concat(F.lit("$"), F.col("surface"), F.lit("$"))), 1))).where("how is not null")
+    parts = F.split("said", r"\$")
+    named = said.select("version", "focus", F.explode(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))).alias("surface"), F.lit(1).alias("occurs"))
+    seen = seen.union(named).groupBy("version", "focus", "surface").agg(F.max("occurs").alias("how"))
+    hits = seen.join(symbols, ["version", "surface"]).join(f.select("version", "focus", "at"), ["version", "focus"]).where("ordinal < at")
     best = hits.groupBy("version", "focus", "surface").agg(F.max_by(F.struct("node", "description", "how"), F.struct("how", F.col("description").isNotNull(), "ordinal", "node")).alias("d"))
     via = F.when(F.col("d.how") == 2, "occurrence").otherwise("symbol")
     rows = rows.union(best.select("version", "focus", entry(1, none, F.col("surface"), F.col("d.node"), via, F.col("d.description"))))
     return rows.groupBy("version", "focus").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["via"].alias("via"), p["node"].alias("node"), p["surface"].alias("surface"), p["description"].alias("description"))).alias("premises"))
 
 
+def _around(f: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(version, focus, k, node, ordinal, fits): the block ``k`` positions after a focus or, from 0 down, before it, up to the next
+    boundary. Running counts place every node once, so that a focus meets only the few positions around it."""
+    w = Window.partitionBy("version").orderBy("ordinal", "node").rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.coalesce(F.trim("text") != "", F.lit(False))
+    stops = shown & F.col("kind").isin(*BOUNDARIES)
+    chars = F.sum(F.when(shown, F.char_length("text")).otherwise(0)).over(w).alias("chars")
+    placed = nodes.select("version", "node", "ordinal", shown.alias("shown"), stops.alias("stops"), F.sum(shown.cast("int")).over(w).alias("pos"), F.sum(stops.cast("int")).over(w).alias("part"), chars)
+    placed = save(placed, "placed")
+    own = f.select("version", F.col("focus").alias("node")).join(placed, ["version", "node"])
+    k = F.explode(F.sequence(F.lit(1 - BEFORE), F.lit(AFTER + 1))).alias("k")
+    probes = own.select("version", F.col("node").alias("focus"), "pos", "part", F.col("chars").alias("past"), "shown", "stops", k)
+    late = F.col("k") > 0
+    probes = probes.select("version", "focus", "k", "past", (F.col("pos") + F.col("k") - F.when(late, 0).otherwise(F.col("shown").cast("int"))).alias("pos"), (F.col("part") - F.when(late, 0).otherwise(F.col("stops").cast("int"))).alias("part"))
+    fits = ~late | ((F.col("k") <= AFTER) & (F.col("chars") - F.col("past") <= CHARACTERS))
+    return probes.join(placed.where("shown").select("version", "pos", "part", "node", "ordinal", "chars"), ["version", "pos", "part"]).select("version", "focus", "k", "node", "ordinal", fits.alias("fits"))
+
+
+def _path(f: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(version, focus, path): the open headings before a focus, the innermost four. The last heading of each level is looked up
+    as-of; it is open if none after it has its level or a lesser one."""
+    heads = nodes.where("level is not null and trim(text) <> ''").select("version", "level", "ordinal", "text")
+    probes = f.select("version", "focus", "at").join(heads.select("version", "level").distinct(), "version")
+    rows = heads.select("version", "level", "ordinal", F.lit(1).alias("head"), "text", F.lit(None).cast(f.schema["focus"].dataType).alias("focus"))
+    rows = rows.union(probes.select("version", "level", "at", F.lit(0), F.lit(None).cast("string"), "focus"))
+    w = Window.partitionBy("version", "level").orderBy("ordinal", "head")
+    rows = rows.withColumn("found", F.last(F.when(F.col("head") == 1, F.struct("ordinal", "level", "text")), ignorenulls=True).over(w)).where("head = 0 and found is not null")
+    every = rows.groupBy("version", "focus").agg(F.sort_array(F.collect_list("found"), asc=False).alias("every"))
+    is_open = lambda s: F.forall("every", lambda t: (t["ordinal"] <= s["ordinal"]) | (t["level"] > s["level"]))
+    return every.select("version", "focus", F.reverse(F.slice(F.transform(F.filter("every", is_open), lambda s: s["text"]), 1, 4)).alias("path"))
+
+
 def context(nodes: DataFrame, focus: DataFrame, links: DataFrame) -> DataFrame:
     """For each focus (version, node): its section path, the blocks before it, what continues it to the next boundary within
     a budget, related nodes, premises and notes.
@@ -214,20 +248,12 @@ def context(nodes: DataFrame, focus: DataFrame, links: DataFrame) -> DataFrame:
     float of which only the caption is known.
     """
     f = focus.join(nodes.select("version", "node", F.col("ordinal").alias("at"), F.col("text").alias("focus_text")), ["version", "node"]).withColumnRenamed("node", "focus")
-    stop = F.col("kind").isin(*BOUNDARIES)
-    rows = f.join(nodes, "version").where("trim(text) <> ''")
-    later = rows.where("ordinal > at")
-    w = Window.partitionBy("version", "focus").orderBy("ordinal")
-    later = later.withColumn("ends", F.sum(stop.cast("int")).over(w)).where("ends = 0").withColumn("n", F.row_number().over(w)).withColumn("chars", F.sum(F.char_length("text")).over(w))
-    fits = (F.col("n") <= AFTER) & (F.col("chars") <= CHARACTERS)
-    after = later.where(fits).groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("continuation"))
-    short = later.groupBy("version", "focus").agg(F.max(~fits).alias("short"))
-    origins = f.select("version", "focus", F.col("focus").alias("node")).union(later.where(fits).select("version", "focus", "node"))
-    back = Window.partitionBy("version", "focus").orderBy(F.desc("ordinal"))
-    earlier = rows.where("ordinal < at").withColumn("passed", F.coalesce(F.sum(stop.cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = earlier.where("passed = 0").withColumn("n", F.row_number().over(back)).where(F.col("n") <= BEFORE).groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("before"))
-    heads = rows.where("ordinal < at and level is not null").withColumn("least", F.min("level").over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    path = heads.where("least is null or level < least").groupBy("version", "focus").agg(F.reverse(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text")), asc=False), lambda x: x["text"]), 1, 4)).alias("path"))
+    near = save(_around(f, nodes), "near")
+    after = near.where("k > 0 and fits").groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("continuation"))
+    short = near.where("k > 0").groupBy("version", "focus").agg(F.max(~F.col("fits")).alias("short"))
+    before = near.where("k <= 0").groupBy("version", "focus").agg(F.array_sort(F.collect_list("ordinal")).alias("before"))
+    origins = f.select("version", "focus", F.col("focus").alias("node")).union(near.where("k > 0 and fits").select("version", "focus", "node"))
+    path = _path(f, nodes)
     origins = save(origins, "origins")
     edge = save(_related(f, origins, nodes, links), "related")
     of = lambda name: F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("source", "other", "relation")))).alias(name)
@@ -244,25 +270,28 @@ def context(nodes: DataFrame, focus: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("notes", notes).withColumn("premises", F.slice("premises", 1, PREMISES)).drop("short", "many", "other_target", "lost")
 
 
-DEPTH = 64
+def _paths(nodes: DataFrame) -> DataFrame:
+    """(version, node, path) of the nodes below a root, the sort keys from the root down.
+
+    Each round puts the path of the topmost ancestor known so far before a node's own, which doubles both: a tree of d levels takes
+    log2(d) rounds. A depth of 2 ** r has a node only if every lesser depth has one, so a round that completes no path is the last;
+    what it leaves is below a cycle or a parent that isn't there.
+    """
+    own = F.array(F.struct("ordinal", "node"))
+    held, done = save(nodes.select("version", "node", F.col("parent").alias("top"), own.alias("path")), "paths"), -1
+    while True:
+        now, left = held.agg(F.count_if(F.col("top").isNull()), F.count("top")).first()
+        if not left or now == done:
+            return held.where("top is null").select("version", "node", "path")
+        above = held.select("version", F.col("node").alias("top"), F.col("top").alias("next"), F.col("path").alias("head"))
+        longer = held.where("top is not null").join(above, ["version", "top"]).select("version", "node", F.col("next").alias("top"), F.concat("head", "path").alias("path"))
+        last, held, done = held, save(held.where("top is null").unionByName(longer), "paths"), now
+        discard(last)
 
 
 def reading_order(nodes: DataFrame) -> DataFrame:
-    """Pre-order position of (version, node, parent, ordinal) trees; nodes without a reachable root come last.
-
-    A recursive common table expression builds sort paths; they are as deep as the tree, and one of more than ``DEPTH`` levels is
-    an error.
-    """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("__tree")
-    paths = spark.sql(f"""
-        WITH RECURSIVE p AS (
-          SELECT version, node, array(struct(ordinal, node)) AS path, 0 AS depth FROM __tree WHERE parent IS NULL
-          UNION ALL
-          SELECT t.version, t.node, concat(p.path, array(struct(t.ordinal, t.node))), p.depth + 1
-          FROM __tree t JOIN p ON t.version = p.version AND t.parent = p.node WHERE p.depth < {DEPTH})
-        SELECT version, node, CASE WHEN depth < {DEPTH} THEN path ELSE raise_error('the tree is deeper than {DEPTH} levels') END AS path FROM p""")
-    rows = nodes.join(paths, ["version", "node"], "left")
+    """Pre-order position of (version, node, parent, ordinal) trees of any depth; nodes without a reachable root come last."""
+    rows = nodes.join(_paths(nodes), ["version", "node"], "left")
     w = Window.partitionBy("version").orderBy(F.col("path").isNull(), "path", "parent", "ordinal", "node")
     return rows.select("version", "node", (F.row_number().over(w) - 1).cast("long").alias("position"))
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import random
 import tarfile
 
 import pandas as pd
@@ -139,9 +140,45 @@ def test_context_lists_are_capped_by_themselves(spark):
 
 def test_reading_order_of_deep_trees(spark):
     tree = lambda n: spark.createDataFrame([(1, k, k - 1 if k else None, -k) for k in range(n)], "version long, node long, parent long, ordinal long")
-    assert [r.position for r in graph.reading_order(tree(graph.DEPTH)).orderBy("node").collect()] == list(range(graph.DEPTH))
-    with pytest.raises(Exception, match="deeper than 64"):
-        graph.reading_order(tree(graph.DEPTH + 1)).collect()
+    assert [r.position for r in graph.reading_order(tree(100)).orderBy("node").collect()] == list(range(100))
+    lost = tree(3).union(spark.createDataFrame([(1, 7, 8, 0), (1, 8, 7, 0), (1, 9, 99, 0)], "version long, node long, parent long, ordinal long"))
+    assert [r.node for r in graph.reading_order(lost).orderBy("position").collect()] == [0, 1, 2, 8, 7, 9]
+
+
+def _plain_context(rows, focus):
+    """(path, before, continuation) of a focus by walking its version, rows being (ordinal, kind, text, level)."""
+    at = next(r for r in rows if r[0] == focus)[0]
+    shown = [r for r in sorted(rows, key=lambda r: r[0]) if (r[2] or "").strip()]
+    path, least, before, after, size = [], 99, [], [], 0
+    back = [r for r in reversed(shown) if r[0] < at]
+    for r in back:
+        if r[3] is not None and r[3] < least:
+            least = r[3]
+            path.append(r[2])
+    for r in back[: graph.BEFORE]:
+        before.append(r[0])
+        if r[1] in graph.BOUNDARIES:
+            break
+    for r in (r for r in shown if r[0] > at):
+        size += len(r[2])
+        if r[1] in graph.BOUNDARIES or len(after) == graph.AFTER or size > graph.CHARACTERS:
+            break
+        after.append(r[0])
+    return path[:4][::-1] or None, sorted(before) or None, after or None
+
+
+def test_context_against_a_walk(spark):
+    pick = random.Random(5)
+    rows = []
+    for k in range(400):
+        kind = pick.choice(["paragraph"] * 12 + ["section", "subsection", "theorem", "proof"])
+        text = pick.choice(["", None, " ", "x" * 900, f"t{k}", f"u{k}", f"w{k}"])
+        rows.append((kind, text, [], None, pick.randrange(1, 5) if kind in ("section", "subsection") else None))
+    n = _nodes(spark, rows)
+    out = graph.context(n, n.select("version", "node"), graph.edges(n)).select("focus", "path", "before", "continuation").collect()
+    plain = [(k, r[0], r[1], r[4]) for k, r in enumerate(rows)]
+    assert len(out) == 400
+    assert {r.focus: (r.path, r.before, r.continuation) for r in out} == {k: _plain_context(plain, k) for k in range(400)}
 
 
 def test_incremental_ingest(spark, tmp_path):
