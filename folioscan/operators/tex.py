@@ -28,7 +28,7 @@ MOST_ROWS, MOST_COLUMNS, MOST_BYTES, MOST_FILES, MOST_PARAGRAPH = 512, 64, 64 <<
 def open_archive(raw: bytes) -> dict[str, str]:
     """Text files of a gzipped tar, or the one file of a plain gzip; too large or too many give nothing."""
     try:
-        data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+        data = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(MOST_BYTES + 1) if raw[:2] == b"\x1f\x8b" else raw
     except (OSError, EOFError):
         return {}
     if len(data) > MOST_BYTES:
@@ -52,56 +52,67 @@ def _is_utf8(b: bytes) -> bool:
     return True
 
 
-_KEPT = re.compile(r"(\\begin\{(" + "|".join(VERBATIM) + r")\*?\}.*?\\end\{\2\*?\}|\\url\{[^}]*\}|\\verb\*?([^A-Za-z\s]).*?\3)", re.S)
+_SKIPPED = re.compile(r"\\begin\{(" + "|".join(VERBATIM) + r")\*?\}.*?\\end\{\1\*?\}|\\url\{[^}]*\}|\\verb\*?([^A-Za-z\s]).*?\2|(?P<mark>(?<!\\)(?:\\\\)*%)", re.S)
 
 
 def strip_comments(text: str) -> str:
     """Without unescaped ``%`` to the end of line; verbatim environments, ``\\verb`` and ``\\url`` are left alone."""
     out, at = [], 0
-    while True:
-        kept = _KEPT.search(text, at)
-        mark = re.compile(r"(?<!\\)(?:\\\\)*%").search(text, at)
-        if kept and (not mark or kept.start() < mark.start()):
-            out.append(text[at : kept.end()])
-            at = kept.end()
-        elif mark:
-            out.append(text[at : mark.end() - 1])
-            end = text.find("\n", mark.end())
-            if end < 0:
-                return "".join(out)
-            own_line = not text[text.rfind("\n", 0, mark.start()) + 1 : mark.end() - 1].strip()
-            at = end + 1 if own_line else end
-        else:
-            return "".join([*out, text[at:]])
-
-
-_INCLUDE = re.compile(r"\\(?:input|include|subfile)\s*\{([^}]+)\}")
+    while m := _SKIPPED.search(text, at):
+        if m["mark"] is None:
+            out.append(text[at : m.end()])
+            at = m.end()
+            continue
+        out.append(text[at : m.end() - 1])
+        end = text.find("\n", m.end())
+        if end < 0:
+            return "".join(out)
+        own_line = not text[text.rfind("\n", 0, m.start()) + 1 : m.end() - 1].strip()
+        at = end + 1 if own_line else end
+    return "".join([*out, text[at:]])
+
+
+_INCLUDE = re.compile(r"\\(?:input|include|subfile)\s*\{([^}]+)\}|\\input\s+([^\s\\{}%]+)|\\import\s*\{([^}]*)\}\s*\{([^}]+)\}")
+
+
+def _included(m: re.Match) -> str:
+    """The name in an include, a folder before it joined."""
+    return (m[1] or m[2] or m[3].strip() + m[4].strip()).strip().removeprefix("./")
 
 
 def main_file(files: dict[str, str]) -> str | None:
     """The file that none includes, that has a document and a title, and is longest; names break ties."""
     tex = {n: strip_comments(t) for n, t in files.items() if n.lower().endswith((".tex", ".ltx"))}
-    named = {f"{x.strip().removesuffix('.tex')}.tex" for t in tex.values() for x in _INCLUDE.findall(t)}
+    named = {f"{x.strip().removesuffix('.tex')}.tex" for t in tex.values() for x in map(_included, _INCLUDE.finditer(t))}
     rank = lambda n: (n not in named, r"\begin{document}" in tex[n], r"\title" in tex[n], len(tex[n]))
     ordered = sorted(tex)
     return max(ordered, key=lambda n: (rank(n), -ordered.index(n))) if tex else None
 
 
-def resolve(files: dict[str, str], name: str, seen: frozenset = frozenset()) -> str:
-    """A file with its includes in place; a file is never included within itself, and a missing one is nothing."""
-    if name in seen or name not in files:
-        return ""
+def resolve(files: dict[str, str], name: str) -> str | None:
+    """A file with its includes in place, each file once, where it is first included; a missing one is nothing. None if the whole is
+    larger than ``MOST_BYTES``."""
+    seen, size = set(), 0
+
+    def read(name: str) -> str:
+        nonlocal size
+        if name in seen or name not in files:
+            return ""
+        seen.add(name)
+        text = strip_comments(files[name])
+        size += len(text.encode(errors="replace"))
+        return _INCLUDE.sub(include, text) if size <= MOST_BYTES else ""
 
     def include(m: re.Match) -> str:
-        own = m[1].strip().removeprefix("./")
-        return resolve(files, own if own in files else f"{own}.tex", seen | {name})
+        own = _included(m)
+        return read(own if own in files else f"{own}.tex")
 
-    text = _INCLUDE.sub(include, strip_comments(files[name]))
+    text = read(name)
     bbl = name.rsplit(".", 1)[0] + ".bbl"
     bbl = bbl if bbl in files else next((n for n in sorted(files) if n.endswith(".bbl")), None)
-    if not seen and bbl:
-        text = re.sub(r"\\bibliography\s*\{[^}]*\}", lambda _: strip_comments(files[bbl]), text)
-    return text
+    if bbl:
+        text = re.sub(r"\\bibliography\s*\{[^}]*\}", lambda _: read(bbl), text)
+    return text if size <= MOST_BYTES else None
 
 
 def group(text: str, at: int) -> int:
@@ -329,7 +340,8 @@ def blocks(sources: DataFrame) -> DataFrame:
             for doc, files in zip(frame["document"], frame["files"], strict=True):
                 files = dict(files or {})
                 main = main_file(files)
-                for k, b in enumerate(parse(resolve(files, main)) if main else []):
+                text = resolve(files, main) if main else ""
+                for k, b in enumerate([_block("warning", "the source is too large")] if text is None else parse(text)):
                     rows.append((doc, k, b["kind"], b["text"], b["number"], b["level"], b["labels"], b["note"], b["cells"], b["group"]))
             yield pd.DataFrame(rows, columns=["document", "ordinal", "kind", "text", "number", "level", "labels", "note", "cells", "float_group"]).astype({"level": "Int32", "float_group": "Int32"})
 
@@ -338,5 +350,9 @@ def blocks(sources: DataFrame) -> DataFrame:
 
 def archives(files: DataFrame) -> DataFrame:
     """(document, files) of binary files (path, content), numbered by the hash of their path."""
-    opened = F.udf(lambda raw: open_archive(bytes(raw)), "map<string,string>")
-    return files.select(F.xxhash64("path").alias("document"), opened("content").alias("files"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"document": frame["document"], "files": [list(open_archive(bytes(raw or b"")).items()) for raw in frame["content"]]})
+
+    return files.select(F.xxhash64("path").alias("document"), "content").mapInPandas(run, "document long, files map<string,string>")

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from folioscan.operators import figures, graph, structure, tex
+from folioscan.plans import documents
 from folioscan.sources import bibtex
 from folioscan.streaming import ingest
 
@@ -40,6 +41,25 @@ def test_tex_comments_and_includes():
     assert "BBL" in tex.resolve(files, "a.tex") and tex.resolve(files, "a.tex").count("B ") == 1
 
 
+def test_tex_includes_once_and_bounded(monkeypatch):
+    twice = {f"f{k}.tex": rf"{k}\input{{f{k + 1}}}\input f{k + 1}.tex \import{{./}}{{f{k + 1}}}" for k in range(40)} | {"f40.tex": "end"}
+    got = tex.resolve(twice, "f0.tex")
+    assert got.count("end") == 1 and got.startswith("0123")
+    monkeypatch.setattr(tex, "MOST_BYTES", 60)
+    assert tex.resolve({"a.tex": r"\input{b}" + "x" * 30, "b.tex": "y" * 40}, "a.tex") is None
+    assert tex.open_archive(gzip.compress(b"z" * 61)) == {}
+    assert tex.strip_comments("% a\n" * 20_000 + r"\verb|%|") == r"\verb|%|"
+
+
+def test_papers_differ(spark):
+    rows = tex.blocks(documents.papers(spark, "/root/testdata/sf0.001")).collect()
+    shapes, docs = {}, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for r in sorted(rows, key=lambda r: (r.document, r.ordinal)):
+        shapes.setdefault(r.document, []).append(r.kind)
+    assert len(shapes) == docs and len({tuple(x) for x in shapes.values()}) > docs // 4
+    assert {"theorem", "lemma", "definition", "proof", "table", "warning", "list_item"} <= {r.kind for r in rows}
+
+
 def test_tex_archive_round_trip():
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w") as t:
