@@ -353,6 +353,6 @@ def archives(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"document": frame["document"], "files": [list(open_archive(bytes(raw or b"")).items()) for raw in frame["content"]]})
+            yield pd.DataFrame({"document": frame["document"], "files": [open_archive(bytes(raw or b"")) for raw in frame["content"]]})
 
     return files.select(F.xxhash64("path").alias("document"), "content").mapInPandas(run, "document long, files map<string,string>")

@@ -51,6 +51,13 @@ def test_tex_includes_once_and_bounded(monkeypatch):
     assert tex.strip_comments("% a\n" * 20_000 + r"\verb|%|") == r"\verb|%|"
 
 
+def test_archives_of_files(spark, tmp_path):
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"plain"))
+    (tmp_path / "b.gz").write_bytes(b"\x1f\x8bbroken")
+    found = tex.archives(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert sorted(len(r.files) for r in found) == [0, 1] and {"main.tex": "plain"} in [r.files for r in found]
+
+
 def test_papers_differ(spark):
     rows = tex.blocks(documents.papers(spark, "/root/testdata/sf0.001")).collect()
     shapes, docs = {}, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
