@@ -83,3 +83,12 @@ def test_passages_inside_sentences_against_brute_force_on_words(spark):
         gone = set(t) - set(got[k].text.split())
         assert len(covered[51][k] - gone) <= 15 and gone <= covered[spans.WORDS][k]
         assert bool(gone) == (got[k].n_removed > 0) == (k >= 20)
+
+def test_short_repeats_stay_and_passages_of_51_words_go(spark):
+    fresh = iter(range(10**6))
+    new = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n))
+    for size, gone in ((28, False), (35, False), (51, True), (52, True), (60, True)):
+        passages = [new(size) for _ in range(40)]
+        rows = [(k, " ".join((new(11 + k % 13), passages[k % 40], new(17)))) for k in range(80)]
+        got = {x.doc_id: x for x in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all((got[k].n_removed > 0) == (gone and k >= 40) and (gone or got[k].text == t) for k, t in rows)
