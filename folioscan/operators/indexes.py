@@ -85,8 +85,8 @@ def postings(index: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame,
     """(gram, key): the different trigrams of each row's folded text, to be stored sorted by gram; and (key, dl, text)."""
     low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
     length = sum((F.greatest(F.char_length(c) - 2, F.lit(0)) for c in low), F.lit(0))
-    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1)))
-    of = lambda c: F.when(F.char_length(c) >= 3, F.transform(starts(c), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # one walk over the text; a substring by position would walk it from its start for each trigram
+    of = lambda c: F.regexp_extract_all(c, F.lit("(?s)(?=(...))."), F.lit(1))
     grams = F.flatten(F.array(*(of(c) for c in low)))
     rows = index.select(key, length.alias("dl"), *columns)
     return index.select(key, F.explode(F.array_distinct(grams)).alias("gram")), rows

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from folioscan.functions import scalars as S
 from folioscan.functions import text as X
+from folioscan.operators import indexes
 from folioscan.operators import library as L
 from folioscan.sources import metadata
 
@@ -95,3 +97,15 @@ def test_clip_plan(spark):
     files = spark.createDataFrame([(1, "application/pdf")], "entry_id long, mime_type string")
     got = {r.clip: (r.duplicate, r.action, r.missing_pdf, r.missing_tex) for r in L.clip_plan(clips, entries, files).collect()}
     assert got == {10: (1, "duplicate", False, True), 11: (1, "duplicate", False, True), 12: (None, "create", False, False), 13: (None, "create", False, False)}
+
+
+def test_postings_of_a_long_text(spark):
+    long = "".join(f"{k:x}\n" for k in range(60_000)) + "𝔄é 山"
+    texts = [(1, long), (2, "AB"), (3, None), (4, "aBcab\r\n𝔄b"), (5, "")]
+    began = time.time()
+    grams, rows = indexes.postings(spark.createDataFrame(texts, "id long, text string"), "id", ["text"])
+    got = sorted((r.id, r.gram) for r in grams.collect())
+    assert time.time() - began < 60  # by position each trigram walks the text from its start
+    low = [(k, (t or "").lower()) for k, t in texts]
+    assert got == sorted({(k, t[i : i + 3]) for k, t in low for i in range(len(t) - 2)})
+    assert {r.id: r.dl for r in rows.collect()} == {k: max(len(t) - 2, 0) for k, t in low}
