@@ -51,9 +51,8 @@ class Lattice:
         ends = np.cumsum(size)
         h = self._hash(flat, ends - size, ends)
         order = np.argsort(h)
-        self.hashes, self.ids = h[order], np.array(plain, np.int64)[order]
-        self.maybe = np.zeros(1 << 20, bool)  # most runs of characters are no piece and end here
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.index(h[order])
+        self.ids = np.array(plain, np.int64)[order]
         self.weights = -theta * np.log1p(np.array([ranks[k] for k in plain], float))[order]
         self.byte_weight = -theta * np.log1p(n)
         self.byte_ids = np.zeros(256, np.int64)
@@ -83,25 +82,40 @@ class Lattice:
         m = min(length, self.longest)
         weight, ids = np.full((len(lo), length, m), -np.inf), np.zeros((len(lo), length, m), np.int64)
         chars = mix64(cp[lo[:, None] + np.arange(length)].astype(np.uint64) + np.uint64(1))
+        sums = np.zeros((len(lo), length), np.uint64)
         for size in range(1, m + 1):
-            at = (lo[:, None] + np.arange(length - size + 1)).ravel()
-            h = np.zeros((len(lo), length - size + 1), np.uint64)
-            for k in range(size):
-                h += chars[:, k : length - size + 1 + k] * self._power(k)
-            h = mix64(h.ravel() + np.uint64(size))
-            some = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-            hit = self.hashes[k] == h[some]
-            some, k = some[hit], k[hit]
+            sums = sums[:, : length - size + 1] + chars[:, size - 1 :] * self._power(size - 1)
+            h = mix64(sums.ravel() + np.uint64(size))
+            some, k = self.find(h)
             row, column = np.divmod(some, length - size + 1)
             weight[row, column + size - 1, size - 1] = self.weights[k]
             ids[row, column + size - 1, size - 1] = self.ids[k]
             if size == 1:
-                alone = ~self.single[cp[at]].reshape(len(lo), -1)
+                alone = ~self.single[cp[lo[:, None] + np.arange(length)]]
                 weight[:, :, 0] = np.where(alone, self.byte_weight * 2, weight[:, :, 0])
                 ids[:, :, 0] = np.where(alone, -1, ids[:, :, 0])
         return weight, ids
 
+    def index(self, hashes: np.ndarray) -> None:
+        """Make sorted hashes the table that ``find`` looks up."""
+        self.hashes = hashes
+        top = (hashes >> np.uint64(44)).astype(np.int64)
+        self.maybe = np.zeros(1 << 20, bool)  # most runs of characters are no piece and end here
+        self.maybe[top] = True
+        self.first = np.searchsorted(top, np.arange(1 << 20)).astype(np.int32)  # of the hashes that begin alike
+        self.alike = int(np.bincount(top).max())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are in the table, and their places there; in no order."""
+        top = (h >> np.uint64(44)).astype(np.int64)
+        some = np.flatnonzero(self.maybe[top])
+        place, found = self.first[top[some]], []
+        for _ in range(self.alike):
+            there = self.hashes[place] == h[some]
+            found.append((some[there], place[there]))
+            some, place = some[~there], np.minimum(place[~there] + 1, len(self.hashes) - 1)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
     @staticmethod
     def _power(k: int) -> np.uint64:
         return np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
@@ -119,25 +133,25 @@ class Lattice:
         start[1:] |= space[1:] & ~space[:-1]
         lo = np.flatnonzero(start)
         hi = np.append(lo[1:], len(cp))[: len(lo)]
-        text = np.searchsorted(begins, np.arange(len(cp)), side="right") - 1 if len(cp) else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(size)), size)
         salt = mix64(mix64(keys.astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
         noise = mix64(salt[text] + (np.arange(len(cp)) - begins[text]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)
         noise = noise.astype(float) * 2.0**-53  # one number for each place at which a piece may end
         out = np.full(len(cp), -2, np.int64)
         h = self._hash(cp, lo, hi)
-        _, unit, which = np.unique(h, return_index=True, return_inverse=True)
+        occurrences = np.argsort(h, kind="stable")
+        h = h[occurrences]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+        unit, ends = occurrences[heads], np.append(heads[1:], len(h))[: len(heads)]
         length = (hi - lo)[unit]
         by_length = np.argsort(length, kind="stable")
-        occurrences = np.argsort(which, kind="stable")
-        counts = np.bincount(which, minlength=len(unit))
-        ends = np.cumsum(counts)
         k = 0
         while k < len(unit):
             n = int(length[by_length[k]])
             same = int(np.searchsorted(length[by_length], n, side="right"))
             stop = min(same, k + max(1, _HELD // n))
             pick = by_length[k:stop]
-            self._draw(cp, lo, lo[unit[pick]], n, [occurrences[ends[u] - counts[u] : ends[u]] for u in pick], noise, out)
+            self._draw(cp, lo, lo[unit[pick]], n, [occurrences[heads[u] : ends[u]] for u in pick], noise, out)
             k = stop
         return self._spelled(cp, out, text, len(texts))
 

@@ -151,6 +151,17 @@ def test_sampling_follows_the_weights():
         assert abs(seen.get(p, 0) / n - q) < 5 * (q * (1 - q) / n) ** 0.5 + 1e-3
 
 
+def test_sampling_finds_pieces_whose_hashes_begin_alike():
+    own = object.__new__(sampling.Lattice)
+    top = np.array([0, 0, 5, 5, 5, (1 << 20) - 1, (1 << 20) - 1], np.uint64)
+    own.index(top << np.uint64(44) | np.arange(7, dtype=np.uint64))
+    assert sorted(zip(*(x.tolist() for x in own.find(own.hashes[::-1])), strict=True)) == [(k, 6 - k) for k in range(7)]
+    assert not len(own.find(own.hashes + np.uint64(7))[0])
+    whole = sampling.lattice()
+    some, place = whole.find(whole.hashes)
+    assert len(some) == len(whole.hashes) and (some == place).all()
+
+
 def test_word_encoder_equals_the_tokenizer():
     e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(8)
