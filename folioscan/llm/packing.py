@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -41,14 +42,22 @@ _KIND[list(b"'<")] = 4
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Second bytes of U+00C0 ... U+00FF, after the byte C3: letters but for two signs; NFC leaves them, and capitals are 32 below.
+_ACCENTED = np.zeros(256, bool)
+_ACCENTED[0x80:0xC0] = True
+_ACCENTED[[0x97, 0xB7]] = False
+_CAPITAL = _ACCENTED.copy()
+_CAPITAL[0x9F:] = False
+#: The tokenizer's characters for bytes, where they aren't the byte's own.
+_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WordEncoder:
     """Token ids of texts, unit by unit.
 
     White space never is part of a token of this tokenizer, so a text's ids are those of its words in order. A word of
-    printable ASCII without apostrophe or ``<`` falls into units, each of which the tokenizer's model encodes by itself: runs of letters,
-    single digits, runs of other characters. Any other word is one unit and goes through the whole tokenizer. Ids of
+    printable ASCII and letters of U+00C0 to U+00FF, without apostrophe or ``<``, falls into units, each of which the tokenizer's model
+    encodes by itself: runs of letters, single digits, runs of other characters. Any other word is one unit and goes through the whole tokenizer. Ids of
     units that were met before come from a table by the unit's 64-bit hash; it is emptied when it is full.
     """
 
@@ -67,9 +76,10 @@ class WordEncoder:
     def _learn(self, hashes: list[int], units: list[bytes], plain: list[bool]) -> None:
         n = len(self.known)
         whole = iter(self.tokenizer.encode_batch_fast([u.decode() for u, p in zip(units, plain, strict=True) if not p], add_special_tokens=False))
-        found = [[t.id for t in self.model.tokenize(u.decode())] if p else next(whole).ids for u, p in zip(units, plain, strict=True)]
+        shown = lambda u: u.decode() if u.isascii() else u.decode("latin-1").translate(_CHARACTERS)
+        found = [[t.id for t in self.model.tokenize(shown(u))] if p else next(whole).ids for u, p in zip(units, plain, strict=True)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n + len(found) + 1 > len(self.at):
@@ -83,7 +93,11 @@ class WordEncoder:
         """Ids of all texts, each closed by ``END``, and the n + 1 offsets of the texts."""
         data, offsets = utf8(column)
         starts, ends, text = words(data, offsets)
-        kind = _KIND[data]
+        kind, low = _KIND[data], _LOWER[data]
+        second = np.flatnonzero(data == 0xC3) + 1  # texts are valid, so each has one
+        second = second[_ACCENTED[data[second]]]
+        kind[second - 1] = kind[second] = 1
+        low[second] += _CAPITAL[data[second]] * np.uint8(32)
         odd = np.concatenate(([0], np.cumsum(kind == 4)))
         odd = odd[ends] > odd[starts]
         within = np.zeros(len(data) + 1, np.int8)  # +1 in words that are one unit
@@ -97,16 +111,18 @@ class WordEncoder:
         word = np.searchsorted(starts, first_byte, side="right") - 1
         last_byte = np.minimum(np.append(first_byte[1:], len(data))[: len(first_byte)], ends[word])
         starts, ends, text, odd = first_byte, last_byte, text[word], odd[word]
-        data = np.where(whole, data, _LOWER[data])
+        data = np.where(whole, data, low)
         h, first, back = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
         keys = h.tolist()
         if len(self.known) > REMEMBERED:
             self._clear()
-        new = [k for k, x in enumerate(keys) if x not in self.known]
-        if new:
-            raw, at = data.tobytes(), first[new]
-            self._learn([keys[k] for k in new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], (~odd[at]).tolist())
-        entry = np.fromiter((self.known[x] for x in keys), np.int64, len(keys))[back] if len(keys) else np.zeros(0, np.int64)
+        entry = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw, at, n = data.tobytes(), first[new], len(self.known)
+            self._learn(h[new].tolist(), [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], (~odd[at]).tolist())
+            entry[new] = np.arange(n, n + len(new))
+        entry = entry[back]
         size = self.at[entry + 1] - self.at[entry]
         n = len(offsets) - 1
         per = np.bincount(text, weights=size, minlength=n).astype(np.int64)

@@ -171,6 +171,25 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids[at[k] : at[k + 1]].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END]
 
 
+def test_word_encoder_asks_the_tokenizer_for_no_accented_word():
+    e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(9)
+    every = "".join(map(chr, range(0xC0, 0x100)))
+    texts = [every, *every, "".join(c + "7," for c in every)] + ["".join(r.choice("aZéÉßÿÞÇ3.- \n") for _ in range(80)) for _ in range(300)]
+    mixed = ["".join(r.choice("aé×÷e\u0301\u00adœ'À\u0327 ") for _ in range(60)) for _ in range(300)]
+    want = lambda t: [*whole.encode(t, add_special_tokens=False).ids, packing.END]
+    whole, asked = e.tokenizer, []
+    e.tokenizer = type("Seen", (), {"encode_batch_fast": lambda _, units, **more: asked.extend(units) or whole.encode_batch_fast(units, **more)})()
+    ids, at = e.encode(pa.array([t.replace("×", "").replace("÷", "") for t in texts]))
+    assert not asked
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == want(t.replace("×", "").replace("÷", ""))
+    ids, at = e.encode(pa.array(mixed))
+    assert asked
+    for k, t in enumerate(mixed):
+        assert ids[at[k] : at[k + 1]].tolist() == want(t)
+
+
 def test_column_generation_reaches_the_bound():
     # 3 of size 5 and 2 + 2 + 1 combinations: the best is known by hand
     used = packing.plan(np.array([3, 5, 7]), np.array([40, 20, 40]), 10)
